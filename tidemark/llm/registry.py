@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.llm import simhash
+from tidemark.llm import language, packing, simhash
 
 QUERIES = {
+    "op2_pack": packing.op2_pack,
+    "op3_language": language.op3_language,
     "op10_simhash": simhash.op10_simhash,
 }
 
