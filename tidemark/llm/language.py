@@ -87,10 +87,9 @@ def fit(texts: dict[str, list[bytes]], max_order: int = 3, table_bytes: int = 16
     for i, lang in enumerate(languages):
         counts = np.zeros(size ** (order + 1), dtype=np.int64)
         for x in texts[lang]:
-            counts += np.bincount(_contexts(symbols[np.frombuffer(b"\n" * order + x, dtype=np.uint8)], size, order), minlength=len(counts)) if len(x) > 1 << 16 else 0
-        short = b"".join(b"\n" * order + x for x in texts[lang] if len(x) <= 1 << 16)
-        if short:
-            counts += np.bincount(_contexts(symbols[np.frombuffer(short, dtype=np.uint8)], size, order), minlength=len(counts))
+            if x:
+                own = _contexts(symbols[np.frombuffer(b"\n" * order + x, dtype=np.uint8)], size, order)
+                np.add.at(counts, own, 1)
         table[:, i] = code_lengths(counts, size, order)
     return Model(languages, symbols, size, order, table)
 
@@ -98,7 +97,9 @@ def fit(texts: dict[str, list[bytes]], max_order: int = 3, table_bytes: int = 16
 def score(model: Model, texts: list[bytes | None]) -> tuple[list[str], np.ndarray]:
     """The language whose tree codes each text shortest (ties: the first by name), and its posterior, 0 for ``und``."""
     n = len(texts)
-    bits = np.zeros((n, max(1, len(model.languages))))
+    if not model.languages:
+        return [UNKNOWN] * n, np.zeros(n)
+    bits = np.zeros((n, len(model.languages)))
     pad = b"\n" * model.order
     at, group, total = 0, [], 0
 
@@ -121,7 +122,7 @@ def score(model: Model, texts: list[bytes | None]) -> tuple[list[str], np.ndarra
             group, total = [], 0
     names, scores = [], np.zeros(n)
     for i, x in enumerate(texts):
-        if not model.languages or not x or not _has_letter(x):
+        if not x or not _has_letter(x):
             names.append(UNKNOWN)
             continue
         best = int(bits[i].argmin())
