@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from tidemark.llm import language, packing, simhash
+from tidemark.llm import language, mixing, packing, quality, simhash
 
 QUERIES = {
     "op2_pack": packing.op2_pack,
     "op3_language": language.op3_language,
+    "op6_mix": mixing.op6_mix,
+    "op7_quality": quality.op7_quality,
     "op10_simhash": simhash.op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_mix": mixing.OP6_SQL,
+}
