@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from tidemark.llm import language, mixing, packing, quality, simhash
+from tidemark.llm import language, mixing, packing, quality, simhash, warc
 
 QUERIES = {
     "op2_pack": packing.op2_pack,
     "op3_language": language.op3_language,
     "op6_mix": mixing.op6_mix,
     "op7_quality": quality.op7_quality,
+    "op8_warc": warc.op8_warc,
     "op10_simhash": simhash.op10_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_mix": mixing.OP6_SQL,
+    "op8_warc": warc.OP8_SQL,
 }
