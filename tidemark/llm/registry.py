@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import language, mixing, packing, quality, simhash, warc
+from tidemark.llm import language, maxent, mixing, packing, quality, simhash, warc
 
 QUERIES = {
     "op2_pack": packing.op2_pack,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_mix": mixing.op6_mix,
     "op7_quality": quality.op7_quality,
     "op8_warc": warc.op8_warc,
+    "op9_lm": maxent.op9_lm,
     "op10_simhash": simhash.op10_simhash,
 }
 
