@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import language, maxent, mixing, packing, quality, simhash, warc
+from tidemark.llm import language, licenses, maxent, mixing, packing, quality, simhash, warc
 
 QUERIES = {
     "op2_pack": packing.op2_pack,
     "op3_language": language.op3_language,
+    "op4_licenses": licenses.op4_licenses,
     "op6_mix": mixing.op6_mix,
     "op7_quality": quality.op7_quality,
     "op8_warc": warc.op8_warc,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_licenses": licenses.OP4_SQL,
     "op6_mix": mixing.OP6_SQL,
     "op8_warc": warc.OP8_SQL,
 }
