@@ -66,3 +66,10 @@ def test_odd_rows(spark):
     check(packing.pack(docs, capacity=4).collect(), [r[:2] for r in rows], 4)
     assert packing.pack(docs.limit(0)).collect() == []
     assert len(packing.pack(docs.union(docs)).collect()) == 2 * len(packing.pack(docs).collect())
+
+
+def test_split_chunks_keep_the_tokenizer_s_ids():
+    words = ["Thing,", "it's", "IT'S!!", "été...", "x'", "don't|", "a1,", "123!", "ﬁ,", "Σ,", "a<|b,", "é́,", "it's's,", "ÀÉ%%%", "'ve", "x've,", "日本,", "ǆ,", "été", "ªº", "İx", "ß", "thing", "ñandú", "ǆ", "İ", "ÅÄ", "cœur", "x\u0301y"]
+    encoder = packing.Encoder(packing.default_tokenizer())
+    for w in [*words, "".join(words)]:
+        assert np.frombuffer(encoder.encode([w.encode()])[0], "<u4").tolist() == whole(w)[:-1], w

@@ -9,6 +9,7 @@ fits in a shift and a mask, and where a new one is needed beyond the bound the f
 from __future__ import annotations
 
 import os
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,12 @@ from tidemark.llm.common import load, materialise
 CAPACITY = 4096
 END_ID = 1
 #: Chunks kept in each of the cache's two generations; longer chunks are not kept.
-CACHE_CHUNKS, CACHE_BYTES = 200_000, 64
+CACHE_CHUNKS, CACHE_BYTES = 400_000, 64
+_ID = struct.Struct("<I").pack
+#: The character that stands for each byte: itself if it is printable Latin-1, else the next from U+0100.
+_SHOWN = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174}
+_BYTE_CHARACTERS = [chr(b) if b in _SHOWN else chr(256 + sum(c not in _SHOWN for c in range(b))) for b in range(256)]
+_NO_LETTER = bytes(b for b in range(128) if not bytes([b]).isalpha())
 _encoders: dict[str, Encoder] = {}
 
 
@@ -42,33 +48,84 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.long: list[bytes] = []
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text, without an end."""
         chunks = [(x or b"").split() for x in texts]
-        young, old, new = self.young, self.old, []
-        seen: dict[bytes, bytes] = {}
-        for parts in chunks:
-            for w in parts:
-                if w not in young and w not in seen:
-                    if w in old:
-                        young[w] = old[w]
-                    else:
-                        seen[w] = b""
-                        new.append(w)
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([x.decode("utf-8") for x in some], add_special_tokens=False)):
-                ids = np.array(e.ids, dtype="<u4").tobytes()
-                seen[w] = ids
-                if len(w) <= CACHE_BYTES:
-                    young[w] = ids
-        get, other = young.get, seen.get
-        out = [b"".join([get(w) or other(w, b"") for w in parts]) for parts in chunks]
-        if len(young) > CACHE_CHUNKS:
-            self.old, self.young = young, {}
+        self._learn(set().union(*chunks))
+        get = self.young.__getitem__
+        out = [b"".join(map(get, parts)) for parts in chunks]
+        for w in self.long:
+            del self.young[w]
+        self.long.clear()
+        if len(self.young) > CACHE_CHUNKS:
+            self.old, self.young = self.young, {}
         return out
 
+    def _learn(self, words: set[bytes]) -> None:
+        """Put the ids of all words into the young cache; a word is encoded as the core and the tail it splits into."""
+        young, old = self.young, self.old
+        made: list[tuple[bytes, tuple[bytes, ...]]] = []
+        new: dict[bytes, bytes] = {}
+        for w in words.difference(young):
+            ids = old.get(w)
+            if ids is not None:
+                young[w] = ids
+                continue
+            parts = split(w)
+            made.append((w, parts))
+            for x in parts:
+                if x not in young and x not in new:
+                    new[x] = old.get(x)
+        missing = []
+        for x, ids in new.items():
+            if ids is None:
+                if (shown := letters(x)) is None:
+                    missing.append(x)
+                else:
+                    new[x] = b"".join([_ID(t.id) for t in self.tokenizer.model.tokenize(shown)])
+        for at in range(0, len(missing), 4096):
+            some = missing[at : at + 4096]
+            for x, e in zip(some, self.tokenizer.encode_batch_fast([x.decode("utf-8") for x in some], add_special_tokens=False)):
+                new[x] = b"".join(map(_ID, e.ids))
+        for x, ids in new.items():
+            young[x] = ids
+            if len(x) > CACHE_BYTES:
+                self.long.append(x)
+        for w, parts in made:
+            if len(parts) > 1 or parts[0] != w:
+                young[w] = b"".join([young[x] for x in parts])
+                if len(w) > CACHE_BYTES:
+                    self.long.append(w)
+
+
+def letters(x: bytes) -> str | None:
+    """The byte characters of a chunk that is one run of lower-case Latin letters, which the model takes as they are;
+    None for any other."""
+    if x.isalpha():  # ASCII
+        return x.decode("ascii")
+    s = x.decode("utf-8")
+    if s.isalpha() and s == s.lower() and max(s) < "\u0250":
+        return "".join([_BYTE_CHARACTERS[b] for b in x])
+    return None
+
+
+def split(w: bytes) -> tuple[bytes, ...]:
+    """Parts of a white-space chunk that the tokenizer takes alike alone: it lower-cases, and a run of letters ends
+    where something else begins. Chunks that may hold a special token stay as they are."""
+    if b"<|" in w:
+        return (w,)
+    low = w.lower()
+    core = low.rstrip(_NO_LETTER)
+    if core == low or not core:
+        return (low,)
+    if core[-1] >= 128:
+        last = core.decode("utf-8")[-1]
+        if ord(last) >= 0x250 or not last.isalpha():
+            return (low,)
+    return core, low[len(core) :]
+
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: id, piece int, start long, length long, ids binary (little-endian uint32).
