@@ -177,7 +177,7 @@ def early_gate(spark, sf_dir):
     return out.select("symbol", F.round("ci", 6).alias("ci_lo"), F.coalesce(F.col("ci") > 0, F.lit(False)).alias("can_clear"))
 
 
-@query(with_views("ret", also=f"""c AS (SELECT *, max(seq) OVER (PARTITION BY symbol) + 1 AS n FROM ret), h AS (SELECT * FROM c WHERE seq < n - 126), k AS (SELECT symbol, {_SHARPE} AS recent, greatest(count(r), 20) AS w FROM c WHERE seq >= n - 126 GROUP BY symbol),
+@query(with_views("ret", also=f"""c AS (SELECT *, max(seq) OVER (PARTITION BY symbol) + 1 AS bars FROM ret), h AS (SELECT * FROM c WHERE seq < bars - 126), k AS (SELECT symbol, {_SHARPE} AS recent, greatest(count(r), 20) AS w FROM c WHERE seq >= bars - 126 GROUP BY symbol),
 q0 AS (SELECT h.symbol, max(recent) AS recent, max(w) AS w, count(*) AS n FROM h JOIN k ON h.symbol = k.symbol GROUP BY h.symbol), q AS (SELECT symbol, recent, w, unnest(range(0, n - w, greatest(1, w // 4))) AS st FROM q0),
 e AS (SELECT q.symbol, st, max(recent) AS recent, {_SHARPE} AS s FROM q JOIN h ON h.symbol = q.symbol AND h.seq >= st AND h.seq < st + w GROUP BY q.symbol, st)""") + "SELECT symbol, count(*) AS windows, round(max(recent), 6) AS recent, round(avg(CASE WHEN s < recent THEN 1e0 ELSE 0e0 END), 6) AS percentile, round(quantile_cont(s, 0.5e0), 6) AS median, avg(CASE WHEN s < recent THEN 1e0 ELSE 0e0 END) >= 0.95e0 AS lucky, avg(CASE WHEN s < recent THEN 1e0 ELSE 0e0 END) <= 0.05e0 AS unlucky FROM e GROUP BY symbol HAVING count(*) >= 4")
 def sanctuary_divergence(spark, sf_dir):
