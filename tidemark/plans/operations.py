@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import allocators, joins, report, resample, risk, scans, textscan
+from tidemark.operators import allocators, audit, joins, report, resample, risk, scans, textscan
 from tidemark.plans.series import rounded
 from tidemark.sources import views
 from tidemark.sources.views import with_views
@@ -185,3 +185,28 @@ def stream_kill_switch(spark, sf_dir):
 @query()
 def stream_dedupe(spark, sf_dir):
     return _stream(spark, sf_dir, processors.suppress(processors.read_events(spark, sf_dir).select("ts", "event_type", "user_id"), ["event_type", "user_id"]))
+
+
+@query()
+def run_audit(spark, sf_dir):
+    """Verdicts on a moving-average strategy per symbol."""
+
+    def strategy(df, by):
+        out = scans.price_returns(scans.trend_positions(df, by), by)
+        return out.withColumn("r", F.coalesce(F.col("position") * F.col("simple"), F.lit(0.0)))
+
+    config = audit.AuditConfig(is_years=2, paths=40)
+    out = audit.run_audit(views.bars(spark, sf_dir).where("seq < 1500").select("symbol", "seq", "ts", "close"), strategy, ["symbol"], config)
+    return out.select("symbol", "ci_lo", "dsr", "mc_p", "sanctuary", "noise_worst", "noise_mean", "lucky", "severity", "verdict")
+
+
+_TRIALS = "t AS (SELECT s_suppkey, ['shadow', 'paper', 'conditional', 'live', 'retired'][s_suppkey % 5 + 1] AS status, s_acctbal / 1e4 AS sharpe, s_suppkey % 7 AS cells FROM supplier)"
+
+
+@query("WITH " + _TRIALS + " SELECT count(*) AS n_trials, sum(cells)::BIGINT AS n_cells, round(var_samp(sharpe), 8) AS sr_variance, count(CASE WHEN status IN ('shadow', 'paper', 'conditional') THEN 1 END)::INT AS shadow, count(CASE WHEN status = 'live' THEN 1 END)::INT AS live, count(CASE WHEN status = 'retired' THEN 1 END)::INT AS retired FROM t")
+def program_ledger(spark, sf_dir):
+    k = F.col("s_suppkey")
+    status = F.element_at(F.array(*map(F.lit, ("shadow", "paper", "conditional", "live", "retired"))), (k % 5 + 1).cast("int"))
+    trials = views.table(spark, sf_dir, "supplier").select(k.cast("string").alias("strategy_id"), status.alias("status"), (F.col("s_acctbal") / 1e4).alias("sharpe"), (k % 7).cast("int").alias("n_sweep_cells"))
+    out = audit.ledger_summary(audit.checked_ledger(trials))
+    return out.select("n_trials", "n_cells", F.round("sr_variance", 8).alias("sr_variance"), *[F.size(f"{s}_ids").alias(s) for s in ("shadow", "live", "retired")])
