@@ -130,8 +130,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known:
     """
     spark = docs.sparkSession
     if known is None:
-        rows = F.array(*[F.struct(F.lit(k).alias("license_id"), F.lit(x).alias("text")) for k, x in known_licenses()])
-        known = spark.range(1).select(F.explode(rows).alias("k")).select("k.license_id", "k.text")
+        # one literal, cut up by the engine: hundreds of literals would weigh on every plan
+        rows = F.lit("\x1e".join(f"{k}\x1f{x}" for k, x in known_licenses()))
+        known = materialise(spark.range(1).select(F.explode(F.split(rows, "\x1e")).alias("k")).select(F.split_part("k", F.lit("\x1f"), F.lit(1)).alias("license_id"), F.split_part("k", F.lit("\x1f"), F.lit(2)).alias("text")))
     forms = known.select("license_id", F.array_join(canonical_lines(F.col("text")), " ").alias("form")).where("form <> ''")
     table = materialise(forms.groupBy("form").agg(F.min("license_id").alias("license_id")).select(F.length("form").alias("n"), F.sha2("form", 256).alias("digest"), "license_id"))
     longest = table.agg(F.max("n")).first()[0] or 0
