@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import load, materialise
+from tidemark.llm.common import load, materialise, parallelism
 from tidemark.llm.embeddings import matrix, usable
 
 NEIGHBOURS = 20
@@ -183,10 +183,43 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
         return pa.table({"query_id": pa.array(who, pa.int64()), "near": pa.array(near, pa.list_(pa.int64())), "scores": pa.array(scores, pa.list_(pa.float64()))})
 
     found = tiles.select(*leaf, "a", "b", "vec_id", "v", "q").groupBy(*leaf, "a", "b").applyInArrow(rank, "query_id long, near array<bigint>, scores array<double>")
-    pairs = F.transform(F.arrays_zip("scores", "near"), lambda x: F.struct((-x["scores"]).alias("s"), x["near"].alias("id")))
-    merged = found.groupBy("query_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(pairs)))), 1, k).alias("top"))
-    ranked = merged.select("query_id", F.posexplode("top").alias("at", "x"))
-    return ranked.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), (-F.col("x.s")).alias("score"))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by query; those of one may span batches."""
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column("query_id").to_numpy()
+            start = int(np.searchsorted(ids, ids[-1]))
+            if held and (start or held[-1].column("query_id")[-1].as_py() != ids[0]):
+                held.append(batch.slice(0, start))
+                yield top(pa.Table.from_batches(held), k)
+                held = []
+            elif start:
+                yield top(pa.Table.from_batches([batch.slice(0, start)]), k)
+            held.append(batch.slice(start))
+        if held:
+            yield top(pa.Table.from_batches(held), k)
+
+    together = found.repartition(parallelism(spark), "query_id").sortWithinPartitions("query_id")
+    return together.mapInArrow(merge, "query_id long, rank int, vec_id long, score double")
+
+
+def top(found: pa.Table, k: int) -> pa.RecordBatch:
+    """The ``k`` best of each query among lists of its nearest; a pair found in several trees counts once."""
+    found = found.combine_chunks()
+    near, scores = found.column("near").combine_chunks(), found.column("scores").combine_chunks()
+    q = np.repeat(found.column("query_id").to_numpy(), near.value_lengths().to_numpy())
+    ids, s = near.flatten().to_numpy(), scores.flatten().to_numpy()
+    order = np.lexsort((ids, -s, q))
+    q, ids, s = q[order], ids[order], s[order]
+    once = np.ones(len(q), dtype=bool)
+    once[1:] = (q[1:] != q[:-1]) | (ids[1:] != ids[:-1]) | (s[1:] != s[:-1])
+    q, ids, s = q[once], ids[once], s[once]
+    rank = np.arange(len(q)) - np.searchsorted(q, q) + 1
+    kept = rank <= k
+    return pa.RecordBatch.from_arrays([pa.array(q[kept]), pa.array(rank[kept].astype(np.int32)), pa.array(ids[kept]), pa.array(s[kept])], names=["query_id", "rank", "vec_id", "score"])
 
 
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
