@@ -1,4 +1,4 @@
-"""Every query with SQL against DuckDB on the small tables."""
+"""Every query with SQL against DuckDB on the tables of the driver's gate."""
 
 import math
 import os
@@ -9,6 +9,11 @@ import pytest
 from tidemark.plans import catalogue
 
 
+@pytest.fixture(scope="module")
+def sf_dir():
+    return "/root/testdata/sf0.01"
+
+
 @pytest.fixture(scope="module")
 def con(sf_dir):
     out = duckdb.connect()

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import cross_section, inference, joins, resample
-from tidemark.operators.inference import EULER, expected_maximum
-from tidemark.plans.series import _CALMAR, _PATH, _SHARPE, rounded  # noqa: F401
+from tidemark.functions import exprs as X
+from tidemark.operators import cross_section, inference, joins, resample, risk, scans
+from tidemark.operators.inference import expected_maximum
+from tidemark.plans.series import _PATH, _SHARPE, rounded
 from tidemark.sources import views
 from tidemark.sources.views import with_views
 
@@ -118,8 +120,6 @@ _JOINT = "f AS (SELECT ts FROM ret GROUP BY ts HAVING count(*) = 5), c AS (SELEC
 def _joint(spark, sf_dir):
     panel = joins.aligned(views.returns(spark, sf_dir), "symbol", "ts", "r", 5)
     days = panel.select("ts").distinct()
-    from pyspark.sql import Window
-
     numbered = days.withColumn("k", F.row_number().over(Window.orderBy("ts")) - 1)
     return panel.select("symbol", "ts", "r").join(numbered, "ts").select("symbol", F.col("k").cast("long").alias("seq"), "r")
 
@@ -145,8 +145,6 @@ def ruin_joint_stressed(spark, sf_dir):
 
 @query(with_views("ret", also=_plan(60, 504) + f", {_block(16, 20)}, {_DRAW}, {_mdd('d', 'r', 'm', anchored=False)}, b AS (SELECT symbol, quantile_cont(mdd, 0.05e0) AS p95, quantile_cont(mdd, 0.01e0) AS p99 FROM m GROUP BY symbol), {_PATH}, l AS (SELECT symbol, arg_max(dd0, seq) AS now FROM p GROUP BY symbol)") + "SELECT symbol, round(p95, 6) AS p95, round(p99, 6) AS p99, round(now, 6) AS now, CASE WHEN now <= p99 THEN 'derisk' WHEN now <= p95 THEN 'alert' ELSE 'normal' END AS action FROM b JOIN l USING (symbol)")
 def drift_band(spark, sf_dir):
-    from tidemark.operators import risk, scans
-
     ret = views.returns(spark, sf_dir)
     band = resample.drawdown_band(resample.draw(ret, resample.blocks(resample.steps(ret, BY, 60, 504), 20, 16), BY, ["r"]), BY)
     now = scans.drawdown(ret, BY, anchored=False).groupBy("symbol").agg(F.max_by("dd", "seq").alias("now"))
@@ -170,8 +168,6 @@ def dsr_prob(spark, sf_dir):
 
 @query(with_views("ret", also=f"m AS (SELECT symbol, count(r) AS n, {_SHARPE} AS sr FROM ret GROUP BY symbol)") + "SELECT symbol, round(CASE WHEN sr > 0 THEN sr - 1.959963984540054e0 * sqrt((1 + 0.5e0 * sr * sr) / n * 5) END, 6) AS ci_lo, coalesce(CASE WHEN sr > 0 THEN sr - 1.959963984540054e0 * sqrt((1 + 0.5e0 * sr * sr) / n * 5) END > 0, false) AS can_clear FROM m")
 def early_gate(spark, sf_dir):
-    from tidemark.functions import exprs as X
-
     agg = views.returns(spark, sf_dir).groupBy("symbol").agg(F.count("r").alias("n"), X.sharpe(F.col("r"), 252).alias("sr"))
     out = agg.withColumn("ci", inference.early_gate(F.col("sr"), F.col("n"), 5))
     return out.select("symbol", F.round("ci", 6).alias("ci_lo"), F.coalesce(F.col("ci") > 0, F.lit(False)).alias("can_clear"))
@@ -181,8 +177,6 @@ def early_gate(spark, sf_dir):
 q0 AS (SELECT h.symbol, max(recent) AS recent, max(w) AS w, count(*) AS n FROM h JOIN k ON h.symbol = k.symbol GROUP BY h.symbol), q AS (SELECT symbol, recent, w, unnest(range(0, n - w, greatest(1, w // 4))) AS st FROM q0),
 e AS (SELECT q.symbol, st, max(recent) AS recent, {_SHARPE} AS s FROM q JOIN h ON h.symbol = q.symbol AND h.seq >= st AND h.seq < st + w GROUP BY q.symbol, st)""") + "SELECT symbol, count(*) AS windows, round(max(recent), 6) AS recent, round(avg(CASE WHEN s < recent THEN 1e0 ELSE 0e0 END), 6) AS percentile, round(quantile_cont(s, 0.5e0), 6) AS median, avg(CASE WHEN s < recent THEN 1e0 ELSE 0e0 END) >= 0.95e0 AS lucky, avg(CASE WHEN s < recent THEN 1e0 ELSE 0e0 END) <= 0.05e0 AS unlucky FROM e GROUP BY symbol HAVING count(*) >= 4")
 def sanctuary_divergence(spark, sf_dir):
-    from pyspark.sql import Window
-
     ret = views.returns(spark, sf_dir).withColumn("_last", F.max("seq").over(Window.partitionBy("symbol")))
     out = inference.divergence(ret.where("seq < _last + 1 - 126"), ret.where("seq >= _last + 1 - 126"), BY)
     return out.select("symbol", "windows", *[F.round(c, 6).alias(c) for c in ("recent", "percentile", "median")], "lucky", "unlucky")
@@ -236,9 +230,6 @@ n AS (SELECT symbol, seq, level, trial, close * exp(level * sd * {normal(17, "pr
 r AS (SELECT symbol, level, trial, p / lag(p) OVER (PARTITION BY symbol, level, trial ORDER BY seq) - 1e0 AS r FROM n),
 e AS (SELECT symbol, level, trial, {_SHARPE} AS s FROM r GROUP BY symbol, level, trial)""") + "SELECT symbol, level, round(avg(s), 5) AS mean_sharpe, round(min(s), 5) AS worst_sharpe FROM e GROUP BY symbol, level")
 def noise_robustness(spark, sf_dir):
-    from tidemark.functions import exprs as X
-    from tidemark.operators import scans
-
     noisy = resample.with_noise(views.bars(spark, sf_dir), BY, [0.1, 0.3, 0.5], 3, 17)
     keys = ["symbol", "level", "trial"]
     r = scans.price_returns(noisy, keys)
