@@ -123,46 +123,52 @@ def hypergeometric(u: Column, population: Column, marked: Column, draws: Column)
 
 
 def shard_quotas(quotas: DataFrame, levels: int, seed: int = 11) -> DataFrame:
-    """(source, n blocks) to (source, shard, n): an exact split among 2 ** levels shards, half after half.
+    """(source, n blocks) to (source, runs array<long>): an exact split among 2 ** levels shards, half after half.
 
     Each node sends half of its blocks (rounded down) left; the left counts of all sources are one draw from the
-    multivariate hypergeometric distribution, made source after source from what is left of both.
+    multivariate hypergeometric distribution, made source after source from what is left of both. A node is a row with
+    a count for each source, so the tree grows without a shuffle.
     """
-    nodes = quotas.select("source", "n", F.lit(0).cast("long").alias("shard"))
-    order = Window.partitionBy("shard").orderBy(F.col("source").asc_nulls_last())
+    kinds = F.sort_array(F.collect_list(F.struct(F.col("source").isNull().alias("last"), "source", "n")))
+    nodes = quotas.agg(kinds.alias("kinds")).select(F.lit(0).cast("long").alias("shard"), F.col("kinds.source").alias("sources"), F.col("kinds.n").alias("counts"))
     for level in range(levels):
-        held = nodes.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct(F.col("source").isNull().alias("last"), "source", "n"))).alias("kinds"), F.sum("n").alias("all"))
         u = lambda i: F.pmod(F.xxhash64(F.lit(seed), F.lit(level), "shard", i), F.lit(1 << 52)) / float(1 << 52)  # noqa: B023, E731
 
-        def draw(acc: Column, x: Column) -> Column:
-            got = hypergeometric(u(F.size(acc["got"])), acc["population"], x["n"], acc["draws"]).cast("long")
-            return F.struct((acc["population"] - x["n"]).alias("population"), (acc["draws"] - got).alias("draws"), F.concat(acc["got"], F.array(got)).alias("got"))
+        def draw(acc: Column, n: Column) -> Column:
+            got = hypergeometric(u(F.size(acc["got"])), acc["population"], n, acc["draws"]).cast("long")  # noqa: B023
+            return F.struct((acc["population"] - n).alias("population"), (acc["draws"] - got).alias("draws"), F.concat(acc["got"], F.array(got)).alias("got"))
 
-        start = F.struct(F.col("all").alias("population"), F.expr("all div 2").alias("draws"), F.array().cast("array<bigint>").alias("got"))
-        left = held.select("shard", "kinds", F.aggregate("kinds", start, draw)["got"].alias("got"))
-        pairs = left.select("shard", F.explode(F.arrays_zip("kinds", "got")).alias("x")).select("shard", "x.kinds.source", "x.kinds.n", F.col("x.got").alias("left"))
-        nodes = pairs.select("source", F.explode(F.array(F.struct((2 * F.col("shard")).alias("shard"), F.col("left").alias("n")), F.struct((2 * F.col("shard") + 1).alias("shard"), (F.col("n") - F.col("left")).alias("n")))).alias("x")).select("source", "x.n", "x.shard")
-    return nodes.select("source", "shard", "n", F.sum("n").over(Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)).alias("before")).fillna(0, ["before"])
+        total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n)
+        start = F.struct(total.alias("population"), F.floor(total / 2).cast("long").alias("draws"), F.array().cast("array<bigint>").alias("got"))
+        halves = nodes.withColumn("left", F.aggregate("counts", start, draw)["got"])
+        right = F.zip_with("counts", "left", lambda n, x: n - x)
+        both = F.array(F.struct((2 * F.col("shard")).alias("shard"), F.col("left").alias("counts")), F.struct((2 * F.col("shard") + 1).alias("shard"), right.alias("counts")))
+        nodes = halves.select("sources", F.explode(both).alias("x")).select("x.shard", "sources", "x.counts")
+    pairs = nodes.select("shard", F.explode(F.arrays_zip("sources", "counts")).alias("x"))
+    runs = pairs.groupBy(F.col("x.sources").alias("source")).agg(F.sort_array(F.collect_list(F.struct("shard", F.col("x.counts").alias("n")))).alias("runs"))
+    return runs.select("source", F.col("runs.n").alias("runs"))
 
 
 def deal(mixed: DataFrame, levels: int = 4) -> DataFrame:
     """Blocks of the mix to output shards: source, block, shard. A source's permuted blocks go to shards in runs."""
     blocks = mixed.where("taken > 0").select("source", "block").distinct()
-    ranked = blocks.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy(F.xxhash64("block"), "block")) - 1)
-    quotas = shard_quotas(ranked.groupBy("source").agg(F.count("*").alias("n")), levels)
-    runs = quotas.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("before", "shard", "n"))).alias("runs"))
-    found = _match(ranked, runs, "source")
-    own = F.filter("runs", lambda r: (r["before"] <= F.col("rank")) & (F.col("rank") < r["before"] + r["n"]))
-    return found.select("source", "block", F.element_at(own, 1)["shard"].alias("shard"))
+    ranked = blocks.withColumn("rank", (F.row_number().over(Window.partitionBy("source").orderBy(F.xxhash64("block"), "block")) - 1).cast("long"))
+    quotas = materialise(shard_quotas(ranked.groupBy("source").agg(F.count("*").alias("n")), levels))
+    start = F.struct(F.col("rank").alias("left"), F.lit(0).alias("shard"))
+    walk = F.aggregate("runs", start, lambda a, n: F.struct((a["left"] - n).alias("left"), (a["shard"] + F.when(a["left"] >= n, 1).otherwise(0)).alias("shard")))
+    return _match(ranked, quotas, "source").select("source", "block", walk["shard"].alias("shard"))
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, levels: int = 4) -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, shard_words: int = 4_000_000) -> DataFrame:
     """The mix as documents: a row per copy taken, dealt to shards and shuffled within each; columns as given.
 
     Copies are whole: the one document of a source that a quota cuts is taken again if half of it or more is wanted.
-    Rows with one id count as one document here.
+    Rows with one id count as one document here. Shards are a power of two with about ``shard_words`` words or fewer
+    each, up to the 65,536 blocks of a source.
     """
     mixed = materialise(mix(docs, id_col, text_col, source_col, weights, cap))
+    words = mixed.agg(F.sum("taken")).first()[0] or 0
+    levels = min(16, max(2, (-(-words // shard_words) - 1).bit_length()))
     copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
     chosen = mixed.where("taken > 0").select("doc_id", "source", "block", copies.alias("copies")).where("copies > 0")
     placed = _match(chosen, deal(mixed, levels), "source", "block").groupBy("doc_id").agg(F.max("copies").alias("copies"), F.min("shard").alias("shard"))
