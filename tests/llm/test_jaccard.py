@@ -1,0 +1,73 @@
+import corpus_pipeline
+import numpy as np
+from tidemark.llm import jaccard
+from tidemark.llm.common import load
+
+
+
+def brute_sets(texts):
+    out = []
+    for x in texts:
+        w = (x or "").encode().lower().split()
+        out.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)})
+    return out
+
+
+def brute_kept(ids, texts):
+    sets, root = brute_sets(texts), list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b):
+                root[find(i)] = find(j)
+    least = {}
+    for i, d in enumerate(ids):
+        least[find(i)] = min(least.get(find(i), d), d)
+    return sorted(least.values())
+
+
+def test_stage_keeps_one_of_each_group_of_similar_documents(spark):
+    docs = load(spark, "/root/testdata/sf0.01", "documents")
+    rows = docs.select("doc_id", "text").collect()
+    kept = corpus_pipeline.near_duplicates(spark, docs, "/root/testdata/sf0.01")
+    assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == brute_kept([r["doc_id"] for r in rows], [r["text"] for r in rows])
+
+
+def chains(n=90):
+    rng = np.random.default_rng(4)
+    texts = [None, "", " ", "one", "ONE", "a b c d e", "a b c d e f"]
+    for k in range(n):
+        words = [f"w{k % 9}_{i}" for i in range(60)]
+        for i in rng.integers(0, 60, k % 7):
+            words[i] = f"x{rng.integers(1 << 30)}"
+        texts.append(" ".join(words))
+    return texts
+
+
+def test_tiles_find_what_all_pairs_find(spark):
+    texts = chains()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for rows in (2048, 4):
+        kept = jaccard.dedup(docs, group_rows=rows).select("doc_id").collect()
+        assert sorted(r["doc_id"] for r in kept) == brute_kept(range(len(texts)), texts)
+
+
+def test_similarity_of_just_four_fifths_links():
+    a, b = np.arange(9, dtype=np.uint64), np.arange(1, 10, dtype=np.uint64)
+    assert jaccard.alike(a, b) and not jaccard.alike(a[:8], b[:8]) and jaccard.alike(a, a)
+
+
+def test_documents_without_an_id_pass_and_columns_stay(spark):
+    docs = spark.createDataFrame([(None, "a b", 1), (None, "a b", 2), (5, "a b", 3), (4, "A  b", 4)], "doc_id long, text string, more int")
+    out = jaccard.dedup(docs)
+    assert out.columns == docs.columns and sorted(r["more"] for r in out.collect()) == [1, 2, 4]
+
+
+def test_sizes_of_similar_sets_are_in_one_window():
+    for n in range(1, 3000):
+        assert jaccard.band(5 * n // 4) - jaccard.band(n) in (0, 1)

@@ -1,0 +1,192 @@
+"""Near-duplicates by exact similarity: texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
+
+Two such sets of sizes a and b share at least 4 a / 5 and 4 b / 5 elements, so that in any common order of all shingles
+their first a // 5 + 1 and b // 5 + 1 meet. Shared prefix shingles connect texts of close sizes to candidate groups, and in a
+group pairs are confirmed by their whole sets. The order puts rare shingles first, by counts in hashed buckets; it decides how
+large candidate groups are and never which pairs are found. A group with more than ``group_rows`` members is split into
+tiles, each of which emits a spanning forest of its links.
+"""
+
+from __future__ import annotations
+
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.llm.common import connected_components, materialise, parallelism
+
+SEED = 42
+WORDS = 5
+_BLOCKS = 64
+
+
+def shingles(text: bytes | None) -> np.ndarray:
+    """Sorted distinct XXH64 of the text's shingles; a shorter text is one shingle, a blank one has none."""
+    parts = (text or b"").lower().split()
+    if not parts:
+        return np.zeros(0, np.uint64)
+    n, joined, digest = len(parts), b" ".join(parts), xxhash.xxh64_intdigest
+    if n <= WORDS:
+        return np.array([digest(joined, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, n) + 1) - 1
+    starts = [0, *(ends[: n - WORDS] + 1).tolist()]
+    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[WORDS - 1 :].tolist())], np.uint64))
+
+
+def band(n: int) -> int:
+    """Number of a size's band; sets whose bands are not equal or next to each other can't be similar."""
+    return int(np.floor(np.log(n) / np.log(1.26))) if n else -1
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of 4/5 or more."""
+    if 5 * min(len(a), len(b)) < 4 * max(len(a), len(b)):
+        return False
+    if len(a) > len(b):
+        a, b = b, a
+    common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return 9 * common >= 4 * (len(a) + len(b))
+
+
+def forest(values: list[np.ndarray], others: list[np.ndarray] | None) -> list[tuple[int, int]]:
+    """A spanning forest of the similar pairs among ``values``, or between ``values`` and ``others``, as indexes."""
+    sets = values + (others or [])
+    kinds, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True) if sets else (None, np.zeros(0, np.int64), np.zeros(0))
+    place = np.empty(len(times), np.int64)
+    place[np.argsort(times, kind="stable")] = np.arange(len(times))
+    parent, index, out, start = list(range(len(sets))), {}, [], 0
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for i, x in enumerate(sets):
+        ranks = np.sort(place[at[start : start + len(x)]])[: len(x) // 5 + 1].tolist()
+        start += len(x)
+        if others is None or i >= len(values):
+            for j in set().union(*(index[r] for r in ranks if r in index)):
+                a, b = root(i), root(j)
+                if a != b and alike(x, sets[j]):
+                    parent[max(a, b)] = min(a, b)
+                    out.append((i, j))
+        if i < len(values):
+            for r in ranks:
+                index.setdefault(r, []).append(i)
+    return out
+
+
+def bucket_counts(docs: DataFrame, text_col: str, size: int) -> np.ndarray:
+    """How many documents' shingles fall into each of ``size`` buckets of hashes."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(size, np.int64)
+        for batch in batches:
+            for x in batch.column(0).cast(pa.large_binary()).to_pylist():
+                np.add.at(held, (shingles(x) & np.uint64(size - 1)).astype(np.int64), 1)
+        parts = [zlib.compress(x.tobytes(), 1) for x in np.split(held, _BLOCKS)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(_BLOCKS), pa.int32()), pa.array(parts, pa.binary())], names=["block", "c"])
+
+    def total(key: tuple, table: pa.Table) -> pa.Table:
+        got = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in table.column("c").to_pylist())
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "c": pa.array([zlib.compress(got.tobytes(), 1)], pa.binary())})
+
+    summed = docs.select(text_col).mapInArrow(count, "block int, c binary").groupBy("block").applyInArrow(total, "block int, c binary").collect()
+    out = np.zeros((_BLOCKS, size // _BLOCKS), np.int64)
+    for r in summed:
+        out[r["block"]] = np.frombuffer(zlib.decompress(r["c"]), np.int64)
+    return np.minimum(out.ravel(), 0xFFFFFFFF).astype(np.uint32)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_rows: int = 2048) -> DataFrame:
+    """One row per document with an id: id, component_id (smallest id that similar pairs reach).
+
+    Texts with equal sets are one class before any pair is looked for; null and blank texts are one such class.
+    """
+    spark = docs.sparkSession
+    docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    size = 1 << min(22, max(16, (16 * docs.count()).bit_length()))
+    shared = spark.sparkContext.broadcast(bucket_counts(docs, "text", size))
+
+    @F.arrow_udf("struct<key: long, band: int, prefix: array<bigint>>")
+    def digest(texts: pa.Array) -> pa.Array:
+        keys, bands, prefixes = [], [], []
+        for x in texts.cast(pa.large_binary()).to_pylist():
+            own = shingles(x)
+            keys.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+            bands.append(band(len(own)))
+            # ties stay in the order of hashes
+            first = np.argsort(shared.value[(own & np.uint64(size - 1)).astype(np.int64)], kind="stable")[: len(own) // 5 + 1]
+            prefixes.append(own[first].view(np.int64))
+        key = pa.array(np.array(keys, np.uint64).view(np.int64))
+        return pa.StructArray.from_arrays([key, pa.array(bands, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], names=["key", "band", "prefix"])
+
+    rows = materialise(docs.select("doc_id", digest("text").alias("d")).select("doc_id", "d.key", "d.band", "d.prefix"))
+    classes = materialise(rows.groupBy("key").agg(F.min("doc_id").alias("rep")))
+    met = rows.select("key", "band", F.explode("prefix").alias("t"))
+    common = met.groupBy("t").agg(F.min("key").alias("u"), F.max("key").alias("v")).where("u < v").select("t", "u")
+    # a class is a node of its own in each of the two windows of sizes that it belongs to
+    windows = F.array(F.col("band") - 1, F.col("band"))
+    shared_rows = materialise(met.join(common.select("t"), "t").select("t", "key", F.explode(windows).alias("w")).distinct())
+    node = F.xxhash64("key", "w")
+    heads = shared_rows.groupBy("t", "w").agg(F.min("key").alias("head"))
+    edges = shared_rows.join(heads, ["t", "w"]).where("key <> head").select(F.xxhash64("head", "w").alias("u"), node.alias("v")).distinct()
+    groups = connected_components(edges)
+    named = shared_rows.select("key", node.alias("node")).distinct()
+    members = materialise(groups.join(named, "node").select("key", "root"))
+    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / group_rows).cast("int").alias("s"))
+    reps = members.join(classes, "key").join(sizes, "root").select("rep", "key", "root", "s")
+    mine = F.pmod(F.xxhash64("key"), F.col("s")).cast("int")
+    tiles = F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda j: F.struct(F.least(mine, j).alias("a"), F.greatest(mine, j).alias("b")))
+    dealt = docs.join(reps, F.col("doc_id") == F.col("rep")).select("key", "root", "text", mine.alias("mine"), F.explode(tiles).alias("tile")).select("key", "root", "tile.a", "tile.b", (F.col("mine") == F.col("tile.a")).alias("first"), "text")
+    by = ["root", "a", "b"]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[np.ndarray, bool]] = {}
+        now = None
+
+        def close() -> list[tuple[int, int]]:
+            first, rest = ([k for k, (_, f) in held.items() if f == want] for want in (True, False))
+            keys = first + rest
+            found = forest([held[k][0] for k in first], [held[k][0] for k in rest] if rest else None) if len(keys) > 1 else []
+            return [(keys[i], keys[j]) for i, j in found]
+
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            columns = [batch.column(c).to_pylist() for c in (*by, "key", "first")]
+            for root, a, b, key, first, x in zip(*columns, batch.column("text").cast(pa.large_binary()).to_pylist()):
+                if (root, a, b) != now:
+                    out += close()
+                    held, now = {}, (root, a, b)
+                own = shingles(x)
+                # an id can stand for other texts too
+                if xxhash.xxh64_intdigest(own.tobytes(), SEED) == key & 0xFFFFFFFFFFFFFFFF:
+                    held[key] = own, first
+            if out:
+                yield _pairs(out)
+        if out := close():
+            yield _pairs(out)
+
+    links = dealt.repartition(parallelism(spark), *by).sortWithinPartitions(*by, "key").mapInArrow(search, "u long, v long").distinct()
+    found = connected_components(links)
+    rooted = materialise(classes.join(found, F.col("key") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "key").alias("root")))
+    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
+    return rows.select("doc_id", "key").join(rooted.join(least, "root").select("key", "component_id"), "key").select("doc_id", "component_id")
+
+
+def _pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    got = np.array(pairs, dtype=np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(got[:, 0].copy()), pa.array(got[:, 1].copy())], names=["u", "v"])
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents without all but one of each group; columns as given. Documents without an id pass and link nothing."""
+    found = near_duplicates(docs, id_col, text_col, **options)
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    named = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    return named.unionByName(docs.where(F.col(id_col).isNull())).select(*docs.columns)
