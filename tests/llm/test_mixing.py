@@ -69,12 +69,58 @@ def test_draws_follow_the_hypergeometric_distribution(spark):
     assert list(edge) == [3, 0, 0, 0, 2]
 
 
-def test_the_tree_splits_exactly_and_shards_are_disjoint(spark):
+def test_the_tree_splits_exactly(spark):
     quotas = spark.createDataFrame([("a", 100), ("b", 37), (None, 5)], "source string, n long")
-    rows = mixing.shard_quotas(quotas, 3).collect()
-    by_shard = [sum(r["runs"][s] for r in rows) for s in range(8)]
-    assert max(by_shard) - min(by_shard) <= 1
-    assert {r["source"]: sum(r["runs"]) for r in rows} == {"a": 100, "b": 37, None: 5}
+    by_shard, by_source = Counter(), Counter()
+    for r in mixing.shard_quotas(quotas, 3).collect():
+        by_shard[r["shard"]] += r["n"]
+        by_source[r["source"]] += r["n"]
+    assert len(by_shard) == 8 and max(by_shard.values()) - min(by_shard.values()) <= 1
+    assert by_source == {"a": 100, "b": 37, None: 5}
+
+
+def test_shards_draw_disjoint_blocks_that_meet_the_quotas(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    leaves = mixing.sizes(docs, "doc_id", "text", "source").groupBy("source", "block").agg(F.sum("size").alias("block_size"))
+    size = {(r["source"], r["block"]): r["block_size"] for r in leaves.collect()}
+    rows = [r for r in mixing.draws(leaves, shard_words=5000).collect() if r["shard"] is not None]
+    assert len({(r["source"], r["block"], r["part"]) for r in rows}) == len(rows)  # each draw is in one shard
+    runs, words, target = defaultdict(list), Counter(), {}
+    for r in rows:
+        words[r["source"]] += size[r["source"], r["block"]] if r["cut"] is None else r["cut"]
+        target[r["source"]] = r["target"]
+        runs[r["source"]].append(((r["part"], r["block"]), r["shard"]))
+    assert all(abs(words[s] - t) <= 0.5 + 1e-6 for s, t in target.items())
+    assert all([x for _, x in sorted(found)] == sorted(x for _, x in found) for found in runs.values())  # runs of the permuted blocks
+    by_shard = Counter(r["shard"] for r in rows)
+    assert len(by_shard) >= 8 and max(by_shard.values()) - min(by_shard.values()) <= 1
+
+
+def test_the_query_takes_what_its_shards_draw(spark, sf_dir):
+    found = mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), shard_words=5000).collect()
+    for r in found:
+        if r["size"]:
+            assert len(r["shards"]) in (r["taken"] // r["size"], r["taken"] // r["size"] + 1)
+    assert len({x for r in found for x in r["shards"]}) >= 8
+
+
+def test_rows_of_one_id_are_mixed_each(spark):
+    rows = [(1, "a b", "x"), (1, "c d", "x"), (1, "c d", "x"), (None, "e f", "x"), (None, None, "x"), (2, "g " * 9, "y"), (2, "h", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 AS block", "2 AS h", "3 AS shard", "4 AS size", "5 AS cut")
+    want = Counter()
+    for r in mixing.mix(docs).collect():
+        want[r["doc_id"]] += math.floor(r["taken"] / r["size"] + 0.5) if r["size"] else 0
+    got = mixing.mixed_documents(docs)
+    assert got.columns == docs.columns
+    assert Counter(r["doc_id"] for r in got.collect()) == +want
+    assert all(r["text"] and r["text"].strip() for r in got.collect())
+    assert mixing.mixed_documents(docs.limit(0)).collect() == []
+
+
+def test_a_very_long_text_counts_whole(spark):
+    docs = spark.createDataFrame([(1, "w " * 600_000, "a"), (2, "x", "a"), (3, "y z", "b")], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in mixing.mix(docs).collect()}
+    assert got[1]["size"] == 600_000 and abs(sum(r["taken"] for r in got.values()) - 600_003) <= 1
 
 
 def test_mixed_documents_repeat_whole_documents(spark, sf_dir):

@@ -1,13 +1,13 @@
 """Mixing sources to target weights, in DataFrame functions alone.
 
 A document's block is a prefix of the md5 of its id within its source, so blocks are disjoint and their order is a
-permutation. A source's target in words is a whole number of passes over all its blocks and an exact remainder. The
-remainder's quota goes down a tree over the prefixes (source, two digits, four digits, document): each node takes
-what its elder siblings left, so prefix sums only ever run over 256 siblings or one block and never over a source.
+permutation; a source has 65,536 at most. A source's target in words becomes an exact quota of block draws: whole passes
+over its permuted blocks, then the blocks of one more pass until the words are met, the last of them cut to the word.
 
-Output shards get blocks by a multivariate-hypergeometric splitting tree: a node halves its shards and draws how many
-blocks of each source go left, source after source, by inversion of the exact distribution. Each shard then takes
-that many of the source's permuted blocks, disjoint from other shards', and orders its documents by a hash.
+Output shards get the draws by a multivariate-hypergeometric splitting tree: a node halves its shards and draws how many
+of each source's draws go left, source after source, by inversion of the exact distribution. Each shard then takes that
+many of the source's permuted blocks, disjoint from other shards', and orders its documents by a hash. What the mix
+takes of a document is the sum of the draws of its block over all shards.
 """
 
 from __future__ import annotations
@@ -19,16 +19,22 @@ from tidemark.llm.common import WORD, load, materialise
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
+SHARD_WORDS = 1_000_000
+
+
+def _words(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def _place(doc_id: Column) -> Column:
+    """The place in the permutation; its first four digits are the block."""
+    return F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
 def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """doc_id, source, size in words, h (md5 of the id, the place in the permutation)."""
-    return docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.col(source_col).alias("source"),
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("h"),
-    )
+    """doc_id, source, size in words, h (the place in the permutation), block."""
+    found = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), _words(F.col(text_col)).alias("size"), _place(F.col(id_col)).alias("h"))
+    return found.withColumn("block", F.substring("h", 1, 4))
 
 
 def targets(by_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -52,12 +58,6 @@ def targets(by_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int =
     return out.withColumn("passes", passes).withColumn("rest", words - F.col("passes") * F.col("source_size")).drop("w", "level")
 
 
-def _quota(above: str, size: str, *by: str, order: list[str]) -> Column:
-    """What a node takes of the quota above it, after its elder siblings."""
-    elder = F.coalesce(F.sum(size).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return F.greatest(F.lit(0).cast("long"), F.least(F.col(size), F.col(above) - elder))
-
-
 def _match(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
     """Inner join where nulls are equal; the keys stay once."""
     other = right.select(*[F.col(c).alias(f"_right_{c}" if c in keys else c) for c in right.columns])
@@ -67,23 +67,6 @@ def _match(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
     return left.join(other, on).drop(*[f"_right_{c}" for c in keys])
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, taken (words, repeats counted), h, block.
-
-    A null source is a source, the last in order. Null and blank texts have size 0 and are never taken. Rows with one
-    id are documents of their own; null ids are dealt like the empty id. An empty table gives an empty result.
-    """
-    sized = materialise(sizes(docs, id_col, text_col, source_col).withColumn("block", F.substring("h", 1, 4)))
-    leaves = materialise(sized.groupBy("source", "block").agg(F.sum("size").alias("block_size")).withColumn("branch", F.substring("block", 1, 2)))
-    branches = leaves.groupBy("source", "branch").agg(F.sum("block_size").alias("branch_size"))
-    roots = targets(branches.groupBy("source").agg(F.sum("branch_size").alias("source_size")), weights, cap)
-    top = _match(branches, roots, "source").withColumn("branch_quota", _quota("rest", "branch_size", "source", order=["branch"]))
-    mid = _match(leaves, top, "source", "branch").withColumn("block_quota", _quota("branch_quota", "block_size", "source", "branch", order=["block"]))
-    low = _match(sized, mid.select("source", "block", "source_size", "target", "passes", "block_quota"), "source", "block")
-    rest = _quota("block_quota", "size", "source", "block", order=["h", "size"])
-    return low.withColumn("taken", F.col("passes") * F.col("size") + rest).select("doc_id", "source", "size", "source_size", "target", "taken", "h", "block")
-
-
 def hypergeometric(u: Column, population: Column, marked: Column, draws: Column) -> Column:
     """How many of ``draws`` from ``population`` are marked, by inversion at ``u`` in [0, 1) of the exact distribution.
 
@@ -123,9 +106,9 @@ def hypergeometric(u: Column, population: Column, marked: Column, draws: Column)
 
 
 def shard_quotas(quotas: DataFrame, levels: int, seed: int = 11) -> DataFrame:
-    """(source, n blocks) to (source, runs array<long>): an exact split among 2 ** levels shards, half after half.
+    """(source, n draws) to (source, shard, n): an exact split among 2 ** levels shards, half after half.
 
-    Each node sends half of its blocks (rounded down) left; the left counts of all sources are one draw from the
+    Each node sends half of its draws (rounded down) left; the left counts of all sources are one draw from the
     multivariate hypergeometric distribution, made source after source from what is left of both. A node is a row with
     a count for each source, so the tree grows without a shuffle.
     """
@@ -144,38 +127,87 @@ def shard_quotas(quotas: DataFrame, levels: int, seed: int = 11) -> DataFrame:
         right = F.zip_with("counts", "left", lambda n, x: n - x)
         both = F.array(F.struct((2 * F.col("shard")).alias("shard"), F.col("left").alias("counts")), F.struct((2 * F.col("shard") + 1).alias("shard"), right.alias("counts")))
         nodes = halves.select("sources", F.explode(both).alias("x")).select("x.shard", "sources", "x.counts")
-    pairs = nodes.select("shard", F.explode(F.arrays_zip("sources", "counts")).alias("x"))
-    runs = pairs.groupBy(F.col("x.sources").alias("source")).agg(F.sort_array(F.collect_list(F.struct("shard", F.col("x.counts").alias("n")))).alias("runs"))
-    return runs.select("source", F.col("runs.n").alias("runs"))
+    return nodes.select("shard", F.explode(F.arrays_zip("sources", "counts")).alias("x")).select(F.col("x.sources").alias("source"), "shard", F.col("x.counts").alias("n"))
 
 
-def deal(mixed: DataFrame, levels: int = 4) -> DataFrame:
-    """Blocks of the mix to output shards: source, block, shard. A source's permuted blocks go to shards in runs."""
-    blocks = mixed.where("taken > 0").select("source", "block").distinct()
-    ranked = blocks.withColumn("rank", (F.row_number().over(Window.partitionBy("source").orderBy(F.xxhash64("block"), "block")) - 1).cast("long"))
-    quotas = materialise(shard_quotas(ranked.groupBy("source").agg(F.count("*").alias("n")), levels))
-    start = F.struct(F.col("rank").alias("left"), F.lit(0).alias("shard"))
-    walk = F.aggregate("runs", start, lambda a, n: F.struct((a["left"] - n).alias("left"), (a["shard"] + F.when(a["left"] >= n, 1).otherwise(0)).alias("shard")))
-    return _match(ranked, quotas, "source").select("source", "block", walk["shard"].alias("shard"))
+def draws(leaves: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """(source, block, block_size) to (source, block, source_size, target, shard, part, cut): a row for each draw of a block.
 
-
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, shard_words: int = 4_000_000) -> DataFrame:
+    ``part`` counts a block's draws from 0. ``cut`` is the words that the draw takes if it does not take the whole block,
+    else null. A block that is not drawn has one row with a null shard. Windows run over one source's blocks or shards,
+    65,536 at most, and over the sources.
+    """
+    ranked = Window.partitionBy("source").orderBy("block")
+    roots = targets(leaves.groupBy("source").agg(F.sum("block_size").alias("source_size")), weights, cap)
+    filled = leaves.where("block_size > 0")
+    elder = F.coalesce(F.sum("block_size").over(ranked.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = filled.withColumn("elder", elder).withColumn("rank", (F.row_number().over(ranked) - 1).cast("long"))
+    known = _match(placed.withColumn("blocks", F.count("*").over(Window.partitionBy("source"))), roots, "source")
+    last = F.greatest(F.lit(0).cast("long"), F.least("block_size", F.col("rest") - F.col("elder")))
+    known = materialise(known.withColumn("last", last).withColumn("times", F.col("passes") + (F.col("last") > 0).cast("long")))
+    quotas = materialise(known.groupBy("source").agg(F.sum("times").alias("n"), F.sum(F.col("passes") * F.col("block_size") + F.col("last")).alias("words")))
+    words = quotas.agg(F.sum("words")).first()[0] or 0
+    levels = min(16, max(3, (-(-words // shard_words) - 1).bit_length()))
+    # a shard's draws of a source are a run of the source's sequence of draws
+    end = F.sum("n").over(Window.partitionBy("source").orderBy("shard"))
+    runs = shard_quotas(quotas.select("source", "n"), levels).withColumn("end", end).where("n > 0")
+    dealt = runs.select("source", "shard", F.explode(F.sequence(F.col("end") - F.col("n"), F.col("end") - 1)).alias("draw"))
+    each = known.where("times > 0").select("source", "block", "source_size", "target", "block_size", "last", "passes", "rank", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)).alias("part"))
+    each = each.withColumn("draw", F.col("part") * F.col("blocks") + F.col("rank"))
+    cut = F.when((F.col("part") == F.col("passes")) & (F.col("last") < F.col("block_size")), F.col("last"))
+    met = _match(each, dealt, "source", "draw").select("source", "block", "source_size", "target", "shard", F.col("part").cast("int").alias("part"), cut.alias("cut"))
+    drawn = met.select("source", "block").distinct()
+    idle = _match(leaves, roots, "source").join(drawn.select(F.col("source").alias("s"), F.col("block").alias("b")), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left_anti")
+    none = idle.select("source", "block", "source_size", "target", F.lit(None).cast("long").alias("shard"), F.lit(None).cast("int").alias("part"), F.lit(None).cast("long").alias("cut"))
+    return met.unionByName(none)
+
+
+def _left(size: Column) -> Column:
+    """What a document takes of the words that cut its block, after its elders in the block."""
+    elder = F.coalesce(F.sum(size).over(Window.partitionBy("source", "block").orderBy("h", size).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return F.greatest(F.lit(0).cast("long"), F.least(size, F.col("cut") - elder))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """Per document: doc_id, source, size, source_size, target, taken (words, repeats counted), block, shards.
+
+    ``shards`` lists the output shard of each draw of the document's block, in the order of draws. A null source is a
+    source, the last in order. Null and blank texts have size 0 and are never taken. Rows with one id are documents of
+    their own; null ids are dealt like the empty id. An empty table gives an empty result; other columns are ignored. Very
+    long texts count whole, and a document may be cut. Sources are taken to be few: their targets are found in one task.
+    """
+    sized = materialise(sizes(docs, id_col, text_col, source_col))
+    dealt = materialise(draws(sized.groupBy("source", "block").agg(F.sum("size").alias("block_size")), weights, cap, shard_words))
+    whole = F.count_if(F.col("shard").isNotNull() & F.col("cut").isNull())
+    shards = F.transform(F.sort_array(F.collect_list(F.when(F.col("shard").isNotNull(), F.struct("part", "shard")))), lambda x: x["shard"])
+    by_block = dealt.groupBy("source", "block").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), whole.alias("whole"), F.max("cut").alias("cut"), shards.alias("shards"))
+    known = _match(sized, by_block, "source", "block")
+    # only the one block of each source that is cut needs an order of its documents
+    taken = F.col("whole") * F.col("size")
+    sure = known.where("cut IS NULL").withColumn("taken", taken)
+    shared = known.where("cut IS NOT NULL").withColumn("taken", taken + _left(F.col("size")))
+    return sure.unionByName(shared).select("doc_id", "source", "size", "source_size", "target", "taken", "block", "shards")
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, shard_words: int = SHARD_WORDS) -> DataFrame:
     """The mix as documents: a row per copy taken, dealt to shards and shuffled within each; columns as given.
 
-    Copies are whole: the one document of a source that a quota cuts is taken again if half of it or more is wanted.
-    Rows with one id count as one document here. Shards are a power of two with about ``shard_words`` words or fewer
-    each, up to the 65,536 blocks of a source.
+    Each draw of a block yields a copy of each of its documents with a word. Copies are whole: in a block that is cut, a
+    document is in that draw if half of it or more is wanted. Null and blank texts go. Rows with one id are documents of
+    their own, equal rows too; null ids are dealt like the empty id; a null source is a source. An empty table gives an
+    empty result. Shards are a power of two of eight at least, with about ``shard_words`` words or fewer each, up to 65,536.
     """
-    mixed = materialise(mix(docs, id_col, text_col, source_col, weights, cap))
-    words = mixed.agg(F.sum("taken")).first()[0] or 0
-    levels = min(16, max(2, (-(-words // shard_words) - 1).bit_length()))
-    copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    chosen = mixed.where("taken > 0").select("doc_id", "source", "block", copies.alias("copies")).where("copies > 0")
-    placed = _match(chosen, deal(mixed, levels), "source", "block").groupBy("doc_id").agg(F.max("copies").alias("copies"), F.min("shard").alias("shard"))
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))
-    found = packed.join(placed, F.col(f"d.{id_col}").eqNullSafe(F.col("doc_id"))).select("d", "shard", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
-    n = 1 << levels
-    return found.repartition(n, "shard").sortWithinPartitions("shard", F.xxhash64("copy", F.col("d")[id_col])).select("d.*")
+    sized = sizes(docs, id_col, text_col, source_col)
+    dealt = materialise(draws(materialise(sized.groupBy("source", "block").agg(F.sum("size").alias("block_size"))), weights, cap, shard_words).where("shard IS NOT NULL"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.col(source_col).alias("source"), _place(F.col(id_col)).alias("h"))
+    met = _match(keyed.withColumn("block", F.substring("h", 1, 4)).where(F.col(f"d.`{text_col}`").rlike(WORD)), dealt, "source", "block")
+    whole = met.where("cut IS NULL")
+    size = _words(F.col(f"d.`{text_col}`"))
+    some = met.where("cut IS NOT NULL").withColumn("size", size).withColumn("left", _left(F.col("size"))).where("2 * left >= size")
+    columns = ["d", "shard", "part"]
+    n = (dealt.agg(F.max("shard")).first()[0] or 0) + 1
+    found = whole.select(*columns).unionByName(some.select(*columns)).repartitionById(n, F.col("shard").cast("int"))
+    return found.sortWithinPartitions("shard", F.xxhash64("part", F.col(f"d.`{id_col}`"))).select("d.*")
 
 
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
