@@ -57,6 +57,31 @@ def test_matches_all_pairs(spark):
         assert got == brute(rows)
 
 
+def test_the_query_matches_all_pairs(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = [(r["vec_id"], r["embedding"], r["label"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
+    assert embeddings.LEAST_PIVOTS > 1
+    assert sorted((tuple(r) for r in embeddings.op1_embeddings(spark, sf).collect()), key=str) == brute(rows)
+
+
+def test_a_cosine_of_just_the_threshold_links():
+    # (4, 3) and (3, 4) have a cosine of 24/25 exactly, though their unit vectors are rounded
+    v = np.array([[4.0, 3.0], [3.0, 4.0], [4.0, 2.9]])
+    ids, home = np.array([0, 1, 2, 0, 1, 2]), np.array([True] * 3 + [False] * 3)
+    counts, u, w = embeddings.tile(ids, home, np.ones(6, np.int64), np.vstack([v, v]), 0.96)
+    assert counts.tolist() == [2, 1, 1] and sorted(zip(u, w)) == [(1, 0), (2, 0)]
+
+
+def test_local_cells_lose_no_link():
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 16))
+    v = np.repeat(centres, 40, axis=0) + rng.normal(size=(1600, 16)) * 0.14
+    ids, home = np.tile(np.arange(1600), 2), np.arange(3200) < 1600
+    counts, _, _ = embeddings.tile(ids, home, np.ones(3200, np.int64), np.vstack([v, v]), 0.98)
+    u = embeddings.unit(v)
+    assert (counts == (u @ u.T >= 0.98).sum(axis=1) - 1).all() and counts.sum() > 1000
+
+
 def test_tiles_agree_with_one_cell(spark, monkeypatch):
     rows = clustered(240, 8, 4)
     monkeypatch.setattr(embeddings, "HOME_ROWS", 16)

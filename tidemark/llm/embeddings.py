@@ -3,8 +3,10 @@
 On unit vectors, cosine >= t is a chord of sqrt(2 - 2t) or less. Each vector's home is the cell of its nearest pivot.
 A vector also goes to another pivot's cell if that cell may hold a partner: by the triangle inequality only where its
 distance to that pivot is within twice the chord of its distance to its own, and within the chord of the cell's
-radius. Cells then join independently: each home vector meets all members of its cell, so every pair is found from
-both ends. Cells are cut into tiles of bounded size, and equal vectors are one class from the start.
+radius, and, since distances are Euclidean, where it is within the chord of the bisector of the two pivots. Cells then
+join independently: each home vector meets all members of its cell, so every pair is found from both ends. Cells are cut
+into tiles of bounded size, and a tile looks once more with pivots of its own: rows are compared only with the local
+cells that the same inequalities leave. Equal vectors are one class from the start.
 """
 
 from __future__ import annotations
@@ -22,7 +24,10 @@ from tidemark.llm.common import connected_components, load, materialise
 THRESHOLD = 0.98
 #: Added to distances before they rule anything out, and taken from cosines before exact ones decide.
 SLACK = 1e-7
-HOME_ROWS, MEMBER_ROWS = 2048, 8192
+#: A tile holds this many home rows and members at most, or about as many.
+HOME_ROWS, MEMBER_ROWS = 8192, 32_768
+#: Pivots: one for each so many classes of the largest label, four at least; in a tile, one for each so many rows.
+PIVOT_ROWS, LEAST_PIVOTS, LOCAL_ROWS = 4096, 4, 256
 
 
 def usable(vector: Column) -> Column:
@@ -62,6 +67,17 @@ def distances(u: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, 2 - 2 * u @ pivots.T))
 
 
+def may_meet(far: np.ndarray, pivots: np.ndarray, radius: np.ndarray, chord: float) -> tuple[np.ndarray, np.ndarray]:
+    """From distances to pivots: each row's own cell, and which cells can hold a row within ``chord`` of it."""
+    own = far.argmin(axis=1)
+    least = far[np.arange(len(own)), own][:, None]
+    between = distances(pivots, pivots)
+    goes = (far - least <= 2 * chord) & (far <= radius[None, :] + chord)
+    goes &= far * far - least * least <= 2 * chord * between[own] + SLACK
+    goes[np.arange(len(own)), own] = True
+    return own, goes
+
+
 class Forest:
     """Union-find over a tile's rows."""
 
@@ -94,29 +110,41 @@ def tile(ids: np.ndarray, home: np.ndarray, times: np.ndarray, vectors: np.ndarr
     """
     u = unit(vectors)
     h, m = np.flatnonzero(home), np.flatnonzero(~home)
-    counts, forest = np.zeros(len(h), np.int64), Forest(len(ids))
+    if not len(h) or not len(m):
+        return np.zeros(len(h), np.int64), ids[:0], ids[:0]
+    counts, forest = np.zeros(len(ids), np.int64), Forest(len(ids))
     _, first, back = np.unique(ids, return_index=True, return_inverse=True)
     one = first[back]  # a row that stands for the id
-    for at in range(0, len(h), block):
-        own = h[at : at + block]
-        cosine = u[own] @ u[m].T
-        near = cosine >= threshold
-        for i, j in zip(*np.nonzero(np.abs(cosine - threshold) <= SLACK)):
-            a, b = vectors[own[i]], vectors[m[j]]
-            near[i, j] = math.fsum(a * b) / math.sqrt(math.fsum(a * a) * math.fsum(b * b)) >= threshold
-        near &= ids[own][:, None] != ids[m][None, :]
-        counts[at : at + block] = near @ times[m]
-        i, j = np.nonzero(near)
-        if len(i):
-            # first each row to its first partner, then what these leave apart
-            _, k = np.unique(i, return_index=True)
-            forest.join(one[own[i[k]]], one[m[j[k]]])
-            _, k = np.unique(j, return_index=True)
-            forest.join(one[own[i[k]]], one[m[j[k]]])
-            forest.join(one[own[i]], one[m[j]])
+    # local cells: home rows by their nearest local pivot, members by all cells that may hold a partner
+    pivots = choose_pivots(vectors[h], 1 + len(h) // LOCAL_ROWS)
+    chord = math.sqrt(2 - 2 * threshold) + SLACK
+    far = distances(u[h], pivots)
+    cell = far.argmin(axis=1)
+    radius = np.full(len(pivots), -np.inf)
+    np.maximum.at(radius, cell, far.min(axis=1))
+    _, goes = may_meet(distances(u[m], pivots), pivots, radius, chord)
+    for p in range(len(pivots)):
+        mine, others = h[cell == p], m[goes[:, p]]
+        for at in range(0, len(mine), block):
+            own = mine[at : at + block]
+            cosine = u[own] @ u[others].T
+            near = cosine >= threshold
+            for i, j in zip(*np.nonzero(np.abs(cosine - threshold) <= SLACK)):
+                a, b = vectors[own[i]], vectors[others[j]]
+                near[i, j] = math.fsum(a * b) / math.sqrt(math.fsum(a * a) * math.fsum(b * b)) >= threshold
+            near &= ids[own][:, None] != ids[others][None, :]
+            counts[own] = near @ times[others]
+            i, j = np.nonzero(near)
+            if len(i):
+                # first each row to its first partner, then what these leave apart
+                _, k = np.unique(i, return_index=True)
+                forest.join(one[own[i[k]]], one[others[j[k]]])
+                _, k = np.unique(j, return_index=True)
+                forest.join(one[own[i[k]]], one[others[j[k]]])
+                forest.join(one[own[i]], one[others[j]])
     r = forest.roots()
     tied = np.flatnonzero((r != np.arange(len(ids))) & (one == np.arange(len(ids))))
-    return counts, ids[tied], ids[r[tied]]
+    return counts[h], ids[tied], ids[r[tied]]
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, pivots: int = 0, sample_rows: int = 4096) -> DataFrame:
@@ -126,8 +154,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     more. Null, empty, zero and non-finite vectors, and those with a null label, link with nothing. Equal vectors of
     one label are linked copies, and each row counts: a repeated id counts each of its rows. A null id keeps its row and
     is never a component's id, unless all are null. Pivots come from a sample of at most about ``sample_rows`` vectors;
-    every vector is joined. Their number grows with the rows, 16 at most, since each doubles little but replicates all.
-    An empty table gives an empty result; other columns are ignored.
+    every vector is joined. Their number grows with the classes of the largest label, from four up, as far as the sample
+    reaches; each tile adds pivots of its own. An empty table gives an empty result; other columns are ignored.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("v"), F.col(label_col).alias("label"))
@@ -138,13 +166,14 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     single = rows.where(~fit).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.lit(True).alias("kept"))
     if not n:
         return single
-    dims = [r[0] for r in classes.select(F.size("v")).distinct().collect()]
+    # sizes of labels are summed by label first and read as one row a vector length
+    largest = classes.groupBy(F.size("v").alias("d"), "label").agg(F.count("*").alias("n")).groupBy("d").agg(F.max("n").alias("n")).collect()
     chosen = {}
-    for d in dims:
+    for d, most in largest:
         some = classes.where(F.size("v") == d).where(F.pmod(F.xxhash64("cid"), F.lit(1 << 30)) < int(min(1.0, sample_rows / n) * (1 << 30)))
         sample = some.orderBy(F.xxhash64("cid")).limit(sample_rows).select("v").toArrow()
         own = matrix(sample.column("v")) if sample.num_rows else np.ones((1, d))
-        chosen[d] = choose_pivots(own, pivots or min(16, max(1, n // 8192)))
+        chosen[d] = choose_pivots(own, pivots or max(LEAST_PIVOTS, -(-most // PIVOT_ROWS)))
     shared = spark.sparkContext.broadcast(chosen)
     chord = math.sqrt(2 - 2 * threshold) + SLACK
 
@@ -166,10 +195,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, far, d in by_dimension(batch):
-                own = far.argmin(axis=1)
-                least = far[np.arange(len(own)), own]
-                goes = (far - least[:, None] <= 2 * chord) & (far <= radius[d][None, :] + chord)
-                goes[np.arange(len(own)), own] = True
+                own, goes = may_meet(far, shared.value[d], radius[d], chord)
                 i, p = np.nonzero(goes)
                 i, p = np.concatenate([np.arange(len(own)), i]), np.concatenate([own, p])
                 home = np.arange(len(i)) < len(own)
