@@ -1,15 +1,16 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import ann
 
 
-def test_recall_and_scores_against_brute_force(spark):
-    sf = "/root/testdata/sf0.1"
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_recall_and_scores_of_the_query_against_brute_force(spark, sf):
     table = spark.read.parquet(f"{sf}/embeddings.parquet").toArrow()
     ids, x = table.column("vec_id").to_numpy(), ann.matrix(table.column("embedding"))
     got = {}
-    for r in ann.search(spark.read.parquet(f"{sf}/embeddings.parquet"), F.col("vec_id") % 20 == 0, least_rows=0).collect():
+    for r in ann.op5_ann(spark, sf).collect():
         got.setdefault(r["query_id"], []).append(r)
     hits = []
     for q in np.flatnonzero(ids % 20 == 0):
@@ -24,6 +25,22 @@ def test_recall_and_scores_against_brute_force(spark):
     assert np.mean(hits) >= 0.9
 
 
+def test_a_query_need_not_see_all_rows():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(20_000, 8))
+    forest = ann.fit(x[: ann.SAMPLE_ROWS], float(np.linalg.norm(x, axis=1).max()), len(x))
+    leaves, n = forest.leaves(x), 1 << forest.depth
+    found = forest.search(x[:20], int(ann.EFFORT * n**ann.POWER))
+    seen = [np.mean(np.any([leaves[:, t] == leaf for t, leaf in own], axis=0)) for own in found]
+    assert forest.depth == 7 and np.mean(seen) < 0.75
+
+
+def test_rows_of_one_id_are_one_vector_if_equal_and_two_if_not(spark):
+    rows = [(20, [1.0, 0.0]), (1, [3.0, 0.0]), (1, [3.0, 0.0]), (2, [2.0, 0.0]), (2, [1.0, 1.0])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
+    assert sorted(tuple(r) for r in got) == [(20, 1, 1, 3.0), (20, 2, 2, 2.0), (20, 3, 2, 1.0)]
+
+
 def test_the_queue_yields_leaves_by_least_margin():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(500, 6))

@@ -22,9 +22,11 @@ from tidemark.llm.common import load, materialise, parallelism
 from tidemark.llm.embeddings import matrix, usable
 
 NEIGHBOURS = 20
-#: Candidate rows that a query sees, copies in several trees counted: a share of all rows, and a least number.
-EFFORT, LEAST_ROWS = 1.1, 5000
-TREES, LEAF_ROWS, DEPTHS = 8, 400, (4, 7)
+TREES, LEAF_ROWS = 8, 200
+#: Vectors that trees are fitted on, and how many of them a leaf needs: 1024 leaves a tree at most, which then grow.
+SAMPLE_ROWS, FIT_ROWS = 8192, 8
+#: A query visits EFFORT * leaves ** POWER leaves of the TREES * leaves that there are.
+EFFORT, POWER = 2.3, 0.81
 TILE_ROWS, TILE_QUERIES = 8192, 4096
 _TIE = 1e-9
 
@@ -73,8 +75,8 @@ class RPForest:
 
 
 def fit(sample: np.ndarray, norm: float, rows: int, trees: int = TREES, seed: int = 5) -> RPForest:
-    """Trees over a sample, so deep that a leaf of all ``rows`` has about LEAF_ROWS, within DEPTHS."""
-    depth = int(np.clip(round(np.log2(max(1, rows / LEAF_ROWS))), *DEPTHS))
+    """Trees over a sample, so deep that a leaf of all ``rows`` has about LEAF_ROWS, as far as the sample reaches."""
+    depth = int(np.clip(round(np.log2(max(1, rows / LEAF_ROWS))), 0, int(np.log2(SAMPLE_ROWS // FIT_ROWS))))
     rng = np.random.default_rng(seed)
     shape = (trees, 1 << depth, sample.shape[1] + 1)
     h = rng.normal(size=shape)
@@ -112,13 +114,13 @@ def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.n
             yield q, ids[j[a:b]], exact[a:b]
 
 
-def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = NEIGHBOURS, effort: float = EFFORT, least_rows: int = LEAST_ROWS, sample_rows: int = 8192) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = NEIGHBOURS, effort: float = EFFORT, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """For each row that ``is_query`` marks: query_id, rank, vec_id, score of the ``k`` nearest found among all others.
 
     Only vectors of a query's own length are its candidates. Null, empty, zero and non-finite vectors and null ids take
-    no part. Rows with one id count as one vector where they are equal; a query is never its own candidate. Trees are
-    fitted on about ``sample_rows`` vectors at most, and index every row. An empty table gives an empty result; other
-    columns are ignored.
+    no part. Rows with one id count as one vector where they are equal, and as several where they differ: each is searched,
+    and each is found; a query's own id is never its candidate. Ties go to the smaller id. Trees are fitted on about
+    ``sample_rows`` vectors at most, and index every row. An empty table gives an empty result; other columns are ignored.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
@@ -131,7 +133,7 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
         sample = some.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("v").toArrow()
         forests[r["d"]] = fit(matrix(sample.column("v")) if sample.num_rows else np.zeros((1, r["d"])), r["norm"], r["n"])
         leaves = 1 << forests[r["d"]].depth
-        visits[r["d"]] = min(TREES * leaves, int(np.ceil(max(effort, least_rows / r["n"]) * leaves)))
+        visits[r["d"]] = min(TREES * leaves, int(np.ceil(effort * leaves**POWER)))
     shared = spark.sparkContext.broadcast((forests, visits))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
