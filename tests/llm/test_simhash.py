@@ -38,12 +38,12 @@ def brute_components(ids, fps, radius=4):
 @settings(max_examples=60, deadline=None)
 @given(st.one_of(st.none(), st.text(alphabet="aB é\n\t x", max_size=60)))
 def test_fingerprint_is_the_majority_of_shingle_bits(text):
-    assert simhash.fingerprint(None if text is None else text.encode()) == brute_print(text)
+    assert simhash.fingerprint(None if text is None else text.encode(), 4) == brute_print(text)
 
 
 def test_fingerprint_of_a_long_text_with_repeats():
     text = " ".join(f"w{i % 977}" for i in range(70_000))
-    assert simhash.fingerprint(text.encode()) == brute_print(text)
+    assert simhash.fingerprint(text.encode(), 4) == brute_print(text)
 
 
 def test_bk_tree_finds_what_a_scan_finds():
@@ -91,6 +91,4 @@ def test_odd_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
     got = sorted(simhash.near_duplicates(docs).collect(), key=str)
     assert [(r["doc_id"], r["component_id"]) for r in sorted(got, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0))] == [(1, 1), (2, 1), (3, 1), (5, 5), (5, 5), (7, 7), (None, 5)]
-    kept = simhash.dedup(docs).collect()
-    assert sorted((r["doc_id"] or 0) for r in kept) == [0, 1, 5, 7]
     assert simhash.near_duplicates(docs.limit(0)).collect() == []

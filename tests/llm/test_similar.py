@@ -1,8 +1,8 @@
-import corpus_pipeline
 import numpy as np
-from tidemark.llm import jaccard
-from tidemark.llm.common import load
 
+import corpus_pipeline
+from tidemark.llm import simhash, similar
+from tidemark.llm.common import load
 
 
 def brute_sets(texts):
@@ -53,21 +53,44 @@ def test_tiles_find_what_all_pairs_find(spark):
     texts = chains()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for rows in (2048, 4):
-        kept = jaccard.dedup(docs, group_rows=rows).select("doc_id").collect()
+        kept = similar.dedup(docs, group_rows=rows).select("doc_id").collect()
         assert sorted(r["doc_id"] for r in kept) == brute_kept(range(len(texts)), texts)
 
 
 def test_similarity_of_just_four_fifths_links():
     a, b = np.arange(9, dtype=np.uint64), np.arange(1, 10, dtype=np.uint64)
-    assert jaccard.alike(a, b) and not jaccard.alike(a[:8], b[:8]) and jaccard.alike(a, a)
+    alike = similar.Measure(0.8).alike
+    assert alike(a, b) and not alike(a[:8], b[:8]) and alike(a, a)
+
+
+def test_rows_of_one_id_are_documents_of_their_own(spark):
+    docs = spark.createDataFrame([(5, "a b c", 0), (5, "d e f", 1), (6, "d E  f", 2), (6, "d e f", 3), (7, "a b c", 4), (8, "g", 5), (8, "g", 5)], "doc_id long, text string, more int")
+    kept = sorted((r["doc_id"], r["text"].lower()) for r in simhash.dedup(docs).collect())
+    assert kept == [(5, "a b c"), (5, "d e f"), (8, "g")]
+
 
+def test_null_ids_come_last_and_columns_stay(spark):
+    docs = spark.createDataFrame([(None, "a b", 1), (None, "a b", 2), (5, "a b", 3), (4, "A  b", 4), (None, "c d", 5), (None, "c d", 5), (9, None, 6), (3, " ", 7)], "doc_id long, text string, cid int").selectExpr("*", "1 AS k1", "2 AS rep", "3 AS root", "4 AS d")
+    out = simhash.dedup(docs)
+    assert out.columns == docs.columns and sorted(r["cid"] for r in out.collect()) == [4, 5, 7]
+    assert simhash.dedup(docs.limit(0)).collect() == []
 
-def test_documents_without_an_id_pass_and_columns_stay(spark):
-    docs = spark.createDataFrame([(None, "a b", 1), (None, "a b", 2), (5, "a b", 3), (4, "A  b", 4)], "doc_id long, text string, more int")
-    out = jaccard.dedup(docs)
-    assert out.columns == docs.columns and sorted(r["more"] for r in out.collect()) == [1, 2, 4]
+
+def test_long_texts_are_compared_whole(spark):
+    words = [f"w{i}" for i in range(30_000)]
+    texts = [" ".join(words), " ".join(words[:-6000] + [f"x{i}" for i in range(6000)]), " ".join(words[:-2000] + [f"y{i}" for i in range(2000)])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.dedup(docs).collect()) == [0, 1]
+
+
+def test_components_match_all_pairs(spark):
+    texts = chains()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = similar.near_duplicates(docs).collect()
+    assert sorted({r["component_id"] for r in got}) == brute_kept(range(len(texts)), texts) and len(got) == len(texts)
 
 
 def test_sizes_of_similar_sets_are_in_one_window():
+    m = similar.Measure(0.8)
     for n in range(1, 3000):
-        assert jaccard.band(5 * n // 4) - jaccard.band(n) in (0, 1)
+        assert m.band(5 * n // 4) - m.band(n) in (0, 1)

@@ -15,40 +15,15 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm import similar
+from tidemark.llm.bktree import BKTree, fingerprint
 from tidemark.llm.common import connected_components, load, materialise, parallelism
 
-SEED = 42
 SHINGLE_WORDS = 4
 RADIUS = 4
-#: Byte to eight one-byte counters, one for each bit.
-_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").copy().view(np.uint64).ravel()
-
-
-def fingerprint(text: bytes | None, words: int = SHINGLE_WORDS) -> int:
-    """Unsigned 64-bit SimHash: bit i is 1 if it is set in over half of the shingles' XXH64; 0 without words."""
-    parts = (text or b"").lower().split()
-    if not parts:
-        return 0
-    n = len(parts)
-    joined = b" ".join(parts)
-    if n < words:
-        return xxhash.xxh64_intdigest(joined, SEED)
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, n) + 1) - 1
-    starts = [0, *(ends[: n - words] + 1).tolist()]
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist())], dtype=np.uint64)
-    counts = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(hashes), 255 * 256):
-        lanes = _LANES[hashes[at : at + 255 * 256].view(np.uint8).reshape(-1, 8)]
-        sums = np.add.reduceat(lanes, np.arange(0, len(lanes), 255), axis=0)
-        counts += sums.view(np.uint8).reshape(len(sums), 64).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
-
-
 def fingerprint_udf(words: int = SHINGLE_WORDS):
     """Arrow function from a text column to its fingerprint as a signed long."""
 
@@ -60,42 +35,6 @@ def fingerprint_udf(words: int = SHINGLE_WORDS):
     return simhash
 
 
-class BKTree:
-    """Integers under Hamming distance; children keyed by their distance to the parent."""
-
-    def __init__(self) -> None:
-        self.values: list[int] = []
-        self.children: list[dict[int, int]] = []
-
-    def insert(self, value: int) -> int:
-        """Place the value; returns its index."""
-        values, children, at = self.values, self.children, 0
-        if values:
-            while True:
-                d = (values[at] ^ value).bit_count()
-                below = children[at].get(d)
-                if below is None:
-                    children[at][d] = len(values)
-                    break
-                at = below
-        values.append(value)
-        children.append({})
-        return len(values) - 1
-
-    def search(self, value: int, radius: int) -> list[int]:
-        """Indexes of all values within the radius."""
-        values, children, found = self.values, self.children, []
-        stack = [0] if values else []
-        while stack:
-            at = stack.pop()
-            d = (values[at] ^ value).bit_count()
-            if d <= radius:
-                found.append(at)
-            low, high = d - radius, d + radius
-            stack += [c for e, c in children[at].items() if low <= e <= high]
-        return found
-
-
 def forest(values: list[int], others: list[int] | None, radius: int) -> list[tuple[int, int]]:
     """A spanning forest of the links among ``values``, or between ``values`` and ``others`` if given."""
     tree, parent, out = BKTree(), {}, []
@@ -202,12 +141,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(final, "fp").select("doc_id", "fp", "component_id")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents without all but one of each group; columns as given. Documents without an id pass."""
-    found = near_duplicates(docs, id_col, text_col, **options)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    named = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull())).select(*docs.columns)
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The documents without all but one of each group that similarities of ``similarity`` or more connect."""
+    return similar.dedup(docs, id_col, text_col, words, similarity)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
