@@ -43,4 +43,7 @@ def test_ledger(spark):
         audit.checked_ledger(rows.union(rows))
     with pytest.raises(ValueError):
         audit.checked_ledger(spark.createDataFrame([("a", "other", 1.0, 2)], audit.LEDGER))
-    assert audit.lessons(spark).where("mechanism IS NULL").count() == 1
+    table = audit.lessons(spark)
+    assert table.count() == 15 and audit.unenforced_lessons(table).count() == 0
+    assert audit.enforcement_for(table, "L65").first()["enforced_by"] == "test" and audit.enforcement_for(table, "X").count() == 0
+    assert {r["lesson"] for r in audit.lessons_by_mechanism(table, "reviewer").collect()} == {"L74", "L75", "L76"}

@@ -1,11 +1,14 @@
 """Contracts and guards on small made-up series."""
 
+import math
+from datetime import date
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import exprs as X
-from tidemark.operators import allocators, decision, inference, joins, metrics, report, resample, risk, scans, splits, textscan
+from tidemark.operators import allocators, decision, inference, joins, manager, metrics, report, resample, risk, scans, splits, textscan
 from tidemark.sources import files
 
 
@@ -173,3 +176,64 @@ def test_files(spark, tmp_path):
 def test_calendar(spark):
     row = spark.sql("SELECT date'2024-03-10' d, timestamp_ntz'2024-03-09 10:00:00' s").select(X.third_friday(F.col("d")), X.business_day(F.col("s"))).first()
     assert [str(v) for v in row] == ["2024-03-15", "2024-03-08"]
+
+
+def test_tax_by_hand(spark):
+    rows = [("a", 1, -10_000.0, 0.0, 1000.0, 0.0), ("a", 2, 20_000.0, 1500.0, 2000.0, 1000.0), ("a", 3, 1000.0, 100.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "account string, year int, pnl double, dividend double, turnover double, notional double")
+    got = {r["year"]: r for r in decision.wrappers(df, ["account"], uk_shares=True).collect()}
+    # year 1: 10,000 lost and 6 of costs; year 2: 19,988 gained, 10,006 of it offset, 3,000 exempt
+    assert math.isclose(got[1]["gia"], -10_006) and math.isclose(got[1]["carried"], 10_006)
+    assert math.isclose(got[2]["gia"], 19_988 - 0.24 * (19_988 - 10_006 - 3000) - 0.3375 * 1000)
+    assert math.isclose(got[2]["isa"], 19_988) and math.isclose(got[2]["sipp"], 19_988) and math.isclose(got[2]["sb"], 20_000 - 4 - 70)
+    assert got[3]["gia"] == 1000.0
+    us = {r["year"]: r for r in decision.wrappers(df, ["account"]).collect()}
+    assert math.isclose(us[2]["isa"], 19_998)
+    assert [r["wrapper"] for r in decision.best_wrapper(decision.wrappers(df, ["account"]), ["account"]).orderBy("rank").collect()][:2] == ["ISA", "SIPP"]
+
+
+def test_crises_and_pre_trade_by_regime(spark):
+    assert len(risk.CRISES) == 12 and risk.CRISES[2][1:] == (date(2008, 9, 1), date(2009, 3, 31))
+    schema = "account string, symbol string, abs_notional double, risk_amount double, margin_posted double, exchange_min_margin double, equity double, crisis boolean, mode string"
+    pos = spark.createDataFrame([(a, "P", 600.0, 5.5, 10.0, 4.0, 100.0, c, m) for a, c, m in (("n", False, "live"), ("c", True, "live"), ("s", True, "shadow"))], schema)
+    new = lambda risk_amount, notional, margin=10.0: spark.createDataFrame([(a, "Q", notional, risk_amount, margin, 4.0, 100.0, c, m) for a, c, m in (("n", False, "live"), ("c", True, "live"), ("s", True, "shadow"))], schema)
+
+    def decide(*args):
+        return {r["account"]: (r["reason"], r["accepted"]) for r in risk.pre_trade(new(*args), pos, crisis="crisis", mode="mode").collect()}
+
+    assert decide(1.0, 100.0) == {"n": (None, True), "c": ("crisis_regime_heat_reduced", False), "s": ("crisis_regime_heat_reduced", True)}
+    assert decide(0.1, 100.0) == {"n": (None, True), "c": ("leverage_cap_hit", False), "s": ("leverage_cap_hit", True)}
+    assert decide(2.5, 0.0)["n"] == ("per_trade_r_cap_hit", False) and decide(0.0, 300.0)["n"] == ("leverage_cap_hit", False)
+    assert decide(0.0, 0.0, 7.0)["n"] == ("span_buffer_low", False) and decide(0.0, 0.0, None)["n"] == (None, True)
+    lev = risk.leverage_envelope(pos, crisis="crisis", candidate=new(0.0, 50.0, 7.0)).orderBy("account").collect()
+    assert [(r["gross"], r["cap"], r["leverage_ok"], r["breaching"]) for r in lev] == [(6.5, 6.0, False, ["Q"]), (6.5, 8.0, True, ["Q"]), (6.5, 6.0, False, ["Q"])]
+    assert set(r["reason"] for r in risk.pre_trade(new(2.5, 0.0), pos).collect()) < set(risk.REASONS)
+
+
+def test_the_manager(spark):
+    one = spark.range(1)
+    pair = one.select(manager.split_fx_pair(F.lit("aud/jpy.IDEAL")).alias("p"), manager.split_fx_pair(F.lit("SPY")).alias("q")).first()
+    assert tuple(pair["p"]) == ("AUD", "JPY") and pair["q"] is None
+    with pytest.raises(Exception, match="rate"):
+        one.select(manager.units_in(F.lit(100.0), F.lit(10.0), F.lit("JPY"), F.lit(None).cast("double"))).collect()
+    ticks = spark.createDataFrame([("a", 1, 1, 10.0), ("a", 1, 2, 11.0), ("b", 2, 3, 5.0), ("a", 3, 4, 12.0), ("x", 3, 5, 99.0)], "strategy_id string, ts int, event_id int, equity double")
+    known = spark.createDataFrame([("a",), ("b",), ("c",)], "strategy_id string")
+    samples = manager.updates(ticks, known)
+    assert [tuple(r) for r in manager.nav_path(samples).select("ts", "nav").orderBy("ts").collect()] == [(1, 11.0), (2, 16.0), (3, 17.0)]
+    assert manager.updates(ticks, known, most=1).count() == 2
+    bars = spark.createDataFrame([("s", i, v, None, None) for i, v in enumerate([100.0, 91.0, 95.0, 97.0, 0.0, 87.0])], "k string, seq int, nav double, vix double, vol_percentile double")
+    got = manager.on_bar(bars, ["k"]).orderBy("seq").collect()
+    assert [r["throttled"] for r in got] == [False, True, True, False, False, True]
+    assert [r["flatten_check"] for r in got] == [False] * 5 + [True] and not any(r["throttled"] for r in manager.on_bar(bars, ["k"], disabled=True).collect())
+    dd = spark.createDataFrame([("s", i, v) for i, v in enumerate([-0.01, -0.03, -0.06, -0.03, -0.01, -0.03])], "k string, seq int, maxdd double")
+    drift = manager.drift_states(dd, ["k"], F.lit(-0.02), F.lit(-0.05)).orderBy("seq").collect()
+    assert [r["drift_scale"] for r in drift] == [1.0, 1.0, 0.5, 0.5, 1.0, 1.0] and [r["rising"] for r in drift] == [False, True, True, False, False, True]
+    inert = manager.drift_states(dd, ["k"], F.lit(-0.02), F.lit(-0.05), F.lit(False)).collect()
+    assert not any(r["derisk"] or r["alert"] for r in inert)
+    assert manager.dial_config({"correlation_dial": {"k": 1}}) | {"k": 1.0} == manager.dial_config({"correlation_dial": {"k": 1}}) and not manager.dial_config(None)["enabled"]
+
+
+def test_idioms_in_code(spark):
+    code = ["vol = r.std() * sqrt(252)", "s = rets[rets != 0].mean()", "pnl = position * returns", "pnl = position.shift(1) * returns", "m = close.expanding(20).mean()", "x = a.reindex(i).ffill()", "sharpe(r)", "sharpe(r, periods_per_year=252)", "z = (x - x.mean()) / x.std()", "# sqrt(252)", "def my_sharpe(r):", ""]
+    found = textscan.idiom_scan(spark.createDataFrame([(1, "\n".join(code))], "id int, text string"), "id", "text").collect()
+    assert sorted((r["line_no"], r["pattern_id"][:2]) for r in found) == [(1, "A1"), (2, "A2"), (3, "B1"), (5, "B4"), (6, "B5"), (7, "A3"), (9, "C4"), (11, "G1")]

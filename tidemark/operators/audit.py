@@ -136,19 +136,39 @@ def run_audit(prices: DataFrame, strategy: Callable[[DataFrame, list[str]], Data
     return decision.decide(joined, config.thresholds)
 
 
+#: Lesson, title, mechanism that enforces it.
+LESSONS = [
+    ("L17", "Same-bar look-ahead / causality", "test"),
+    ("L52", "IS->OOS plateau stability", "test"),
+    ("L65", "Risk-of-ruin deployment gate", "test"),
+    ("L67", "Kelly is a leverage, not a weight", "test"),
+    ("H2", "Known-edge / known-no-edge calibration", "test"),
+    ("H18", "Pessimistic stop-fill ruin", "test"),
+    ("P1-27", "Covariance shrinkage + crisis overlay", "test"),
+    ("P1-12_16", "Cost realism + reconciliation", "test"),
+    ("C5", "Survivorship-free point-in-time universe", "test"),
+    ("P4-4", "Ratified ruin objective (25%/40%)", "test"),
+    ("P4-5", "Verdict-staleness deployment governance", "test"),
+    ("P0-9", "Live-vs-predicted drift de-risk", "test"),
+    ("L74", "Carry-premium math (carry strategies)", "reviewer"),
+    ("L75", "Hybrid pre-flight before any deploy claim", "reviewer"),
+    ("L76", "Pre-2014 edges are falsification candidates", "reviewer"),
+]
+CRITICAL_LESSONS = {"L17", "L52", "L65", "L67", "H2", "C5", "P4-4"}
+
+
 def lessons(spark: SparkSession) -> DataFrame:
-    """Lessons with the mechanism that enforces each; null where none does."""
-    rows = [
-        ("missing is not zero", "returns drop nulls and keep zeros", "exprs.sharpe"),
-        ("periods are stated", "annualising takes the periods per year", "exprs.sharpe"),
-        ("positions lag", "signals act on the next bar", "scans.trend_positions"),
-        ("folds are purged", "training leaves out test neighbours", "splits.purged_combinations"),
-        ("trials deflate", "the best of many is judged as such", "inference.deflated_z"),
-        ("costs bite", "gates are on net returns", "decision.net_returns"),
-        ("luck is suspect", "a lucky sanctuary costs a step", "decision.decide"),
-        ("point in time", "universes are those of the day", "joins.members_on"),
-        ("regressions block", "manifests may only grow", "files.write_gated"),
-        ("reviews fall due", "overdue strategies get no weight", "decision.govern"),
-        ("write it down", "a hypothesis comes before its run", None),
-    ]
-    return spark.createDataFrame(rows, "lesson string, rule string, mechanism string")
+    """lesson, title, enforced_by (test, reviewer or none), critical."""
+    return spark.createDataFrame([(*x, x[0] in CRITICAL_LESSONS) for x in LESSONS], "lesson string, title string, enforced_by string, critical boolean")
+
+
+def enforcement_for(table: DataFrame, lesson: str) -> DataFrame:
+    return table.where(F.col("lesson") == lesson)
+
+
+def lessons_by_mechanism(table: DataFrame, mechanism: str) -> DataFrame:
+    return table.where(F.col("enforced_by") == mechanism)
+
+
+def unenforced_lessons(table: DataFrame) -> DataFrame:
+    return lessons_by_mechanism(table, "none")

@@ -99,21 +99,51 @@ def carry_losses(df: DataFrame, by: list[str], year: str, gain: str) -> DataFram
     return out.withColumn("used", F.when(F.col(gain) > 0, F.least(before, F.col(gain))).otherwise(0.0)).drop("_c")
 
 
-def wrappers(df: DataFrame, by: list[str], year: str = "year", gain: str = "gain", dividend: str = "dividend", turnover: str = "turnover", notional: str = "notional") -> DataFrame:
-    """Yearly result in each wrapper: sheltered, taxed account (gains above an allowance after carried losses, dividends
-    above theirs), spread bet (its own cost and financing)."""
-    direct, stamp, bet, rate = 10e-4, 5e-3, 20e-4, 0.045 + 0.025
-    out = carry_losses(df, by, year, gain)
-    income = F.col(gain) + F.col(dividend)
-    costs = F.col(turnover) * (direct + stamp / 2)
-    taxable = F.greatest(F.lit(0.0), F.col(gain) - F.col("used") - 3000.0)
-    tax = 0.24 * taxable + 0.3375 * F.greatest(F.lit(0.0), F.col(dividend) - 500.0)
-    return out.withColumn("isa", income - costs).withColumn("gia", income - costs - tax).withColumn("bet", income - F.col(turnover) * bet - rate * F.col(notional))
-
-
-def best_wrapper(df: DataFrame, by: list[str]) -> DataFrame:
-    """The wrapper with the best mean result; ties to the first by name."""
-    means = df.groupBy(*by).agg(*[F.avg(c).alias(c) for c in ("isa", "gia", "bet")])
-    long = means.unpivot(by, ["isa", "gia", "bet"], "wrapper", "mean")
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("mean"), "wrapper"))
-    return long.withColumn("_k", rank).where("_k = 1").drop("_k")
+@dataclass(frozen=True)
+class WrapperParams:
+    """Rates of one tax year and the costs of dealing."""
+
+    cgt_rate: float = 0.24
+    cgt_annual_exemption: float = 3000.0
+    stamp_rate_uk_shares: float = 0.005
+    dividend_allowance: float = 500.0
+    dividend_tax_rate: float = 0.3375
+    sonia: float = 0.045
+    financing_spread: float = 0.025
+    direct_cost_per_turnover: float = 0.0010
+    sb_cost_per_turnover: float = 0.0020
+
+
+WRAPPERS = ("ISA", "SIPP", "GIA", "SB")
+
+
+def wrappers(df: DataFrame, by: list[str], year: str = "year", pnl: str = "pnl", dividend: str = "dividend", turnover: str = "turnover", notional: str = "notional", uk_shares: bool = False, p: WrapperParams = WrapperParams()) -> DataFrame:
+    """Yearly result in each wrapper, from results before costs.
+
+    Sheltered accounts (isa, sipp) pay dealing and, for UK shares, stamp. A taxed account (gia) pays these, tax on the net
+    gain above losses carried forward and the exemption, and tax on dividends above their allowance; its losses count
+    net of costs. A spread bet (sb) pays its own dealing and financing, and banks no loss.
+    """
+    stamp = p.stamp_rate_uk_shares if uk_shares else 0.0
+    net = F.col(pnl) - F.col(turnover) * p.direct_cost_per_turnover - F.col(turnover) * stamp
+    out = carry_losses(df.withColumn("net", net), by, year, "net")
+    gains = p.cgt_rate * F.greatest(F.lit(0.0), F.col("net") - F.col("used") - p.cgt_annual_exemption)
+    dividends = p.dividend_tax_rate * F.greatest(F.lit(0.0), F.coalesce(dividend, F.lit(0.0)) - p.dividend_allowance)
+    bet = F.col(pnl) - F.col(turnover) * p.sb_cost_per_turnover - F.col(notional) * (p.sonia + p.financing_spread)
+    return out.withColumn("isa", F.col("net")).withColumn("sipp", F.col("net")).withColumn("gia", F.col("net") - gains - dividends).withColumn("sb", bet)
+
+
+def best_wrapper(df: DataFrame, by: list[str], capital: float = 1.0, eligible: bool = True) -> DataFrame:
+    """Wrappers by their mean result a unit of capital, best first: ``rank`` 1 is the best; ties in the order of
+    ``WRAPPERS``. Sheltered ones only count if the instrument is ``eligible``."""
+    names = [w for w in WRAPPERS if eligible or w not in ("ISA", "SIPP")]
+    means = df.groupBy(*by).agg(*[(F.avg(w.lower()) / capital).alias(w) for w in names])
+    long = means.unpivot(by, names, "wrapper", "mean")
+    place = F.array_position(F.array(*map(F.lit, WRAPPERS)), F.col("wrapper"))
+    return long.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("mean"), place)))
+
+
+def realistic_cost_gate(df: DataFrame, interval: DataFrame, by: list[str], ppy: float = 252, gross: str = "r", net: str = "net") -> DataFrame:
+    """Yearly drag of costs, and whether the interval (ci_lo) of the net returns' Sharpe ratio is above zero."""
+    drag = df.groupBy(*by).agg((F.avg(F.col(gross) - F.col(net)) * ppy).alias("drag"))
+    return drag.join(interval.select(*by, "ci_lo"), by).withColumn("passes", F.col("ci_lo") > 0)

@@ -36,10 +36,10 @@ def cost_presets(spark, sf_dir):
     return portfolio.cost_presets(spark).select("venue", "round_trip_bps")
 
 
-@query(with_views("ret", also="""e AS (SELECT symbol, ts, seq FROM ret WHERE seq < 400), r AS (SELECT symbol, ts, seq, ts AS last, true AS rebalance FROM e WHERE seq = 0
+@query(with_views("ret", also="""e AS (SELECT symbol, ts, seq FROM ret), r AS (SELECT symbol, ts, seq, ts AS last, true AS rebalance FROM e WHERE seq = 0
   UNION ALL SELECT e.symbol, e.ts, e.seq, CASE WHEN e.ts - r.last >= 21 THEN e.ts ELSE r.last END, e.ts - r.last >= 21 FROM r JOIN e ON e.symbol = r.symbol AND e.seq = r.seq + 1)""").replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT symbol, ts, rebalance FROM r")
 def rebalance_days(spark, sf_dir):
-    return portfolio.rebalance_days(views.returns(spark, sf_dir).where("seq < 400"), BY, "ts")
+    return portfolio.rebalance_days(views.returns(spark, sf_dir), BY, "ts")
 
 
 @query(with_views("ret", also="t AS (SELECT DISTINCT ts FROM ret ORDER BY ts DESC LIMIT 60), g AS (SELECT t.ts, s.symbol, coalesce(r.r, 0e0) AS r FROM t CROSS JOIN (SELECT DISTINCT symbol FROM ret) s LEFT JOIN ret r ON r.ts = t.ts AND r.symbol = s.symbol)") + "SELECT x.symbol AS a, y.symbol AS b, count(*) AS n, round(corr(x.r, y.r), 6) AS corr, abs(corr(x.r, y.r)) > 0.85e0 AS warn FROM g x JOIN g y ON x.ts = y.ts AND x.symbol < y.symbol GROUP BY ALL")
@@ -58,11 +58,11 @@ def allocation(spark, sf_dir):
     return rounded(portfolio.allocate(views.returns(spark, sf_dir), "symbol", "ts", "r"), BY, ["weight"], 8)
 
 
-@query(with_views("bars", also=_FWD + """, q AS (SELECT * FROM f WHERE seq < 300), p AS (SELECT a.symbol, a.seq AS e, b.factor AS x, b.fwd AS y FROM q a JOIN q b ON a.symbol = b.symbol AND b.seq > a.seq - 40 AND b.seq <= a.seq WHERE b.factor IS NOT NULL AND b.fwd IS NOT NULL),
+@query(with_views("bars", also=_FWD + """, q AS (SELECT * FROM f), p AS (SELECT a.symbol, a.seq AS e, b.factor AS x, b.fwd AS y FROM q a JOIN q b ON a.symbol = b.symbol AND b.seq > a.seq - 40 AND b.seq <= a.seq WHERE b.factor IS NOT NULL AND b.fwd IS NOT NULL),
 k AS (SELECT symbol, e, rank() OVER (PARTITION BY symbol, e ORDER BY x) + (count(*) OVER (PARTITION BY symbol, e, x) - 1) / 2e0 AS rx, rank() OVER (PARTITION BY symbol, e ORDER BY y) + (count(*) OVER (PARTITION BY symbol, e, y) - 1) / 2e0 AS ry FROM p),
 c AS (SELECT symbol, e, CASE WHEN count(*) >= 20 THEN corr(rx, ry) END AS ic FROM k GROUP BY symbol, e)""") + "SELECT q.symbol, q.seq, round(ic, 6) AS ic FROM q LEFT JOIN c ON c.symbol = q.symbol AND c.e = q.seq")
 def rolling_ic_spearman(spark, sf_dir):
-    out = portfolio.rolling_rank_correlation(factor_panel(spark, sf_dir).where("seq < 300"), BY, "factor", "fwd", 40)
+    out = portfolio.rolling_rank_correlation(factor_panel(spark, sf_dir), BY, "factor", "fwd", 40)
     return rounded(out, ["symbol", "seq"], ["ic"])
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("series", "panels", "sampling", "risks", "operations", "books")
+MODULES = ("series", "panels", "sampling", "risks", "operations", "books", "managers")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Window
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import allocators, audit, joins, report, resample, risk, scans, textscan
 from tidemark.plans.series import rounded
-from tidemark.sources import views
+from tidemark.sources import files, views
 from tidemark.sources.views import with_views
 from tidemark.streaming import processors
 
@@ -45,14 +44,22 @@ def leak_scan(spark, sf_dir):
     return textscan.leak_scan(corpus, "k", "text").select("k.kind", "k.id", "line_no", "label", "excerpt")
 
 
-_CODE = ["vol = r.std() * sqrt(252)", "s = rets[rets != 0].mean()", "pnl = position * returns", "pnl = position.shift(1) * returns", "m = close.expanding(20).mean()", "x = a.reindex(i).ffill()", "sharpe(r)", "sharpe(r, periods_per_year=252)", "z = (x - x.mean()) / x.std()", "# sqrt(252)", "def my_sharpe(r):", ""]
+def _idiom_sql() -> str:
+    """The scan with other means: line by line, each pattern that RE2 knows; look-behinds by cutting out what they forgive."""
+    q = lambda p: p.replace("'", "''")
+    parts = []
+    for name, severity, patterns in textscan.IDIOMS:
+        hit = " OR ".join(f"regexp_matches(line, '{q(p)}')" for p in patterns if not p.startswith("(?<!"))
+        if hit:
+            parts.append(f"SELECT doc_id, line_no, '{name}' AS pattern_id, '{severity}' AS severity FROM l WHERE {hit}")
+    parts.append("""SELECT doc_id, line_no, 'B1_pos_times_ret_no_shift', 'major' FROM l WHERE regexp_matches(regexp_replace(line, '\\.shift\\(1\\)\\spositions?\\s*\\*|\\.shift\\(1\\)\\.fillna\\(0\\.0\\)\\spos\\s*\\*', '', 'g'), '\\bpositions?\\s*\\*\\s*(?:bar_)?returns?\\b|\\bpos\\s*\\*\\s*(?:bar_)?ret(?:s|urns)?\\b')""")
+    parts.append("""SELECT doc_id, line_no, 'A3_periods_per_year_default', 'major' FROM l WHERE regexp_matches(line, '\\bsharpe\\s*\\(') AND NOT contains(line, 'periods_per_year') AND NOT regexp_matches(line, 'def\\s+\\w*sharpe') AND NOT contains(line, 'from ') AND NOT contains(line, 'import')""")
+    return "WITH a AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1))::INT AS line_no FROM documents), l AS (SELECT * FROM a WHERE trim(line, ' ') <> '' AND NOT starts_with(trim(line, ' '), '#')) " + " UNION ALL ".join(parts)
 
 
-@query("""WITH c AS (SELECT doc_id, doc_id % 12 AS k FROM documents) SELECT doc_id, 1 AS line_no, p.pattern_id, p.severity FROM c JOIN (VALUES (0, 'A1_hardcoded_sqrt_252', 'minor'), (1, 'A2_filter_then_annualise', 'minor'), (2, 'B1_pos_times_ret_no_shift', 'major'), (4, 'B4_expanding_close', 'minor'), (5, 'B5_ffill_after_reindex', 'major'),
-(6, 'A3_periods_per_year_default', 'major'), (8, 'C4_global_zscore', 'minor'), (10, 'G1_local_sharpe_no_kwarg', 'minor')) p(k, pattern_id, severity) ON p.k = c.k""")
+@query(_idiom_sql())
 def methodology_scan(spark, sf_dir):
-    code = F.element_at(F.array(*map(F.lit, _CODE)), (F.col("doc_id") % 12 + 1).cast("int"))
-    found = textscan.idiom_scan(views.table(spark, sf_dir, "documents").select("doc_id", code.alias("text")), "doc_id", "text")
+    found = textscan.idiom_scan(views.table(spark, sf_dir, "documents"), "doc_id", "text")
     return found.select("doc_id", "line_no", "pattern_id", "severity")
 
 
@@ -156,8 +163,7 @@ def amortised_mc(spark, sf_dir):
 
 
 def _stream(spark, sf_dir, df):
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    name = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    name = f"{files.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     return processors.drain(df, f"{name}/out", f"{name}/state")
 
 
@@ -196,7 +202,7 @@ def run_audit(spark, sf_dir):
         return out.withColumn("r", F.coalesce(F.col("position") * F.col("simple"), F.lit(0.0)))
 
     config = audit.AuditConfig(is_years=2, paths=40)
-    out = audit.run_audit(views.bars(spark, sf_dir).where("seq < 1500").select("symbol", "seq", "ts", "close"), strategy, ["symbol"], config)
+    out = audit.run_audit(views.bars(spark, sf_dir).select("symbol", "seq", "ts", "close"), strategy, ["symbol"], config)
     return out.select("symbol", "ci_lo", "dsr", "mc_p", "sanctuary", "noise_worst", "noise_mean", "lucky", "severity", "verdict")
 
 

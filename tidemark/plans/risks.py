@@ -109,28 +109,29 @@ def cost_reconcile(spark, sf_dir):
 
 
 _YEARS = """y AS (SELECT c_mktsegment AS account, year(o_orderdate)::INT AS year, count(*) AS n, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
-g AS (SELECT account, year, (cents / (n * 1e2) - 250000e0) / 2e0 AS gain, n * 2e0 AS dividend, n * 100e0 AS turnover, n * 50e0 AS notional FROM y),
-c0 AS (SELECT *, sum(-gain) OVER (PARTITION BY account ORDER BY year ROWS UNBOUNDED PRECEDING) AS c FROM g),
-c1 AS (SELECT *, c - least(0e0, min(c) OVER (PARTITION BY account ORDER BY year ROWS UNBOUNDED PRECEDING)) AS carried FROM c0),
-c2 AS (SELECT *, CASE WHEN gain > 0 THEN least(coalesce(lag(carried) OVER (PARTITION BY account ORDER BY year), 0e0), gain) ELSE 0e0 END AS used FROM c1),
-w AS (SELECT *, gain + dividend - turnover * (10e-4 + 5e-3 / 2) AS isa, gain + dividend - turnover * (10e-4 + 5e-3 / 2) - 0.24e0 * greatest(0e0, gain - used - 3000e0) - 0.3375e0 * greatest(0e0, dividend - 500e0) AS gia, gain + dividend - turnover * 20e-4 - 0.07e0 * notional AS bet FROM c2)"""
+g AS (SELECT account, year, (cents / (n * 1e2) - 250000e0) / 2e0 AS pnl, n * 2e0 AS dividend, n * 100e0 AS turnover, n * 50e0 AS notional, row_number() OVER (PARTITION BY account ORDER BY year) AS k FROM y),
+d AS (SELECT *, pnl - 0.001e0 * turnover - 0.005e0 * turnover AS net FROM g),
+c AS (SELECT account, k, CASE WHEN net > 0 THEN 0e0 ELSE -net END AS carried, 0e0 AS used FROM d WHERE k = 1
+  UNION ALL SELECT d.account, d.k, CASE WHEN d.net > 0 THEN c.carried - least(c.carried, d.net) ELSE c.carried - d.net END, CASE WHEN d.net > 0 THEN least(c.carried, d.net) ELSE 0e0 END FROM c JOIN d ON d.account = c.account AND d.k = c.k + 1),
+w AS (SELECT d.account, d.year, carried, used, net AS isa, net AS sipp, CASE WHEN net > 0 THEN net - 0.24e0 * greatest(net - used - 3000e0, 0e0) ELSE net END - 0.3375e0 * greatest(dividend - 500e0, 0e0) AS gia, pnl - 0.002e0 * turnover - 0.07e0 * notional AS sb FROM d JOIN c ON c.account = d.account AND c.k = d.k)"""
 
 
 def _years(spark, sf_dir):
     orders, customer = views.table(spark, sf_dir, "orders"), views.table(spark, sf_dir, "customer")
     y = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_mktsegment").alias("account"), F.year("o_orderdate").alias("year")).agg(F.count("*").alias("n"), F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents"))
-    return y.select("account", "year", ((F.col("cents") / (F.col("n") * 100.0) - 250000.0) / 2.0).alias("gain"), (F.col("n") * 2.0).alias("dividend"), (F.col("n") * 100.0).alias("turnover"), (F.col("n") * 50.0).alias("notional"))
+    rows = y.select("account", "year", ((F.col("cents") / (F.col("n") * 100.0) - 250000.0) / 2.0).alias("pnl"), (F.col("n") * 2.0).alias("dividend"), (F.col("n") * 100.0).alias("turnover"), (F.col("n") * 50.0).alias("notional"))
+    return decision.wrappers(rows, ["account"], uk_shares=True)
 
 
-@query("WITH " + _YEARS + " SELECT account, year, round(carried, 4) AS carried, round(used, 4) AS used, round(isa, 4) AS isa, round(gia, 4) AS gia, round(bet, 4) AS bet FROM w")
+@query("WITH RECURSIVE " + _YEARS + " SELECT account, year, round(carried, 4) AS carried, round(used, 4) AS used, round(isa, 4) AS isa, round(sipp, 4) AS sipp, round(gia, 4) AS gia, round(sb, 4) AS sb FROM w")
 def tax_wrappers(spark, sf_dir):
-    return rounded(decision.wrappers(_years(spark, sf_dir), ["account"]), ["account", "year"], ["carried", "used", "isa", "gia", "bet"], 4)
+    return rounded(_years(spark, sf_dir), ["account", "year"], ["carried", "used", "isa", "sipp", "gia", "sb"], 4)
 
 
-@query("WITH " + _YEARS + ", m AS (SELECT account, avg(isa) AS isa, avg(gia) AS gia, avg(bet) AS bet FROM w GROUP BY account) SELECT account, CASE WHEN bet > isa AND bet > gia THEN 'bet' WHEN gia >= isa THEN 'gia' ELSE 'isa' END AS wrapper, round(greatest(isa, gia, bet), 4) AS mean FROM m")
+@query("WITH RECURSIVE " + _YEARS + ", m AS (SELECT account, avg(isa) / 1e5 AS isa, avg(gia) / 1e5 AS gia, avg(sb) / 1e5 AS sb FROM w GROUP BY account), l AS (SELECT account, 'ISA' AS wrapper, 1 AS o, isa AS mean FROM m UNION ALL SELECT account, 'SIPP', 2, isa FROM m UNION ALL SELECT account, 'GIA', 3, gia FROM m UNION ALL SELECT account, 'SB', 4, sb FROM m) SELECT account, wrapper, round(mean, 8) AS mean, row_number() OVER (PARTITION BY account ORDER BY mean DESC, o)::INT AS rank FROM l")
 def best_wrapper(spark, sf_dir):
-    out = decision.best_wrapper(decision.wrappers(_years(spark, sf_dir), ["account"]), ["account"])
-    return out.select("account", "wrapper", F.round("mean", 4).alias("mean"))
+    out = decision.best_wrapper(_years(spark, sf_dir), ["account"], capital=1e5)
+    return out.select("account", "wrapper", F.round("mean", 8).alias("mean"), "rank")
 
 
 _ENV = """e AS (SELECT account, max(equity) AS equity, sum(greatest(abs_notional, 0e0)) AS g, sum(greatest(risk_amount, 0e0)) AS h, min(CASE WHEN exchange_min_margin > 0 THEN margin_posted / exchange_min_margin WHEN margin_posted > 0 THEN 'inf'::DOUBLE END) AS buffer FROM pos GROUP BY account)"""
@@ -147,15 +148,6 @@ def heat_envelope(spark, sf_dir):
     return risk.heat_envelope(views.positions(spark, sf_dir)).select("account", F.round("heat", 6).alias("heat"), "heat_ok")
 
 
-@query(with_views("pos", also="""q AS (SELECT *, CASE WHEN exchange_min_margin > 0 THEN margin_posted / exchange_min_margin END AS ratio FROM pos),
-o AS (SELECT account, sum(abs_notional) AS g, sum(risk_amount) AS h, min(ratio) AS b FROM q WHERE l_linenumber <> 1 GROUP BY account),
-c AS (SELECT q.*, coalesce(g, 0e0) AS g, coalesce(h, 0e0) AS h, b FROM q LEFT JOIN o USING (account) WHERE l_linenumber = 1),
-r AS (SELECT *, CASE WHEN equity <= 0 THEN 'NO_EQUITY' WHEN risk_amount > 0.02e0 * equity THEN 'PER_TRADE_R' WHEN (h + risk_amount) / equity > 0.08e0 THEN 'HEAT' WHEN (g + abs_notional) / equity > 8 THEN 'LEVERAGE' WHEN least(b, ratio) < 1.5e0 THEN 'SPAN_BUFFER' END AS reason FROM c)""") + "SELECT account, l_orderkey, reason, reason IS NULL AS accepted FROM r")
-def pre_trade_decision(spark, sf_dir):
-    pos = views.positions(spark, sf_dir)
-    return risk.pre_trade(pos.where("l_linenumber = 1"), pos.where("l_linenumber <> 1"), buffer_floor=1.5).select("account", "l_orderkey", "reason", "accepted")
-
-
 @query(with_views("pos") + "SELECT account, l_orderkey, l_linenumber FROM pos WHERE risk_amount > 0 AND equity > 0 AND -0.125e0 - risk_amount / equity <= -0.15e0")
 def flatten_candidates(spark, sf_dir):
     return risk.flatten(views.positions(spark, sf_dir).where("equity > 0"), F.lit(-0.125), F.col("equity")).select("account", "l_orderkey", "l_linenumber")
@@ -174,7 +166,7 @@ def sized_notional(spark, sf_dir):
     return views.table(spark, sf_dir, "supplier").select(k, F.round(out, 6).alias("notional"))
 
 
-@query(with_views("ret", also="c(crisis, first, last) AS (VALUES ('asian crisis', DATE '1997-07-01', DATE '1998-01-31'), ('russia and ltcm', DATE '1998-08-01', DATE '1998-10-31'), ('dotcom', DATE '2000-03-01', DATE '2002-12-31')), i AS (SELECT *, product(1e0 + r) OVER (PARTITION BY symbol, crisis ORDER BY ts ROWS UNBOUNDED PRECEDING) AS eq FROM ret JOIN c ON ts >= first AND ts <= last), d AS (SELECT *, eq / greatest(1e0, max(eq) OVER (PARTITION BY symbol, crisis ORDER BY ts ROWS UNBOUNDED PRECEDING)) - 1e0 AS dd FROM i)") + "SELECT symbol, crisis, count(*) AS n, round(product(1e0 + r) - 1e0, 8) AS total, round(min(dd), 8) AS max_dd, min(dd) > -0.25e0 AS passes FROM d GROUP BY symbol, crisis HAVING count(*) >= 2")
+@query(with_views("ret", also="c(crisis, first, last) AS (VALUES ('1987_blackmonday', DATE '1987-10-01', DATE '1987-12-31'), ('2000_dotcom', DATE '2000-03-01', DATE '2002-12-31'), ('2008_gfc', DATE '2008-09-01', DATE '2009-03-31'), ('2010_flashcrash', DATE '2010-05-06', DATE '2010-05-07')), i AS (SELECT *, product(1e0 + r) OVER (PARTITION BY symbol, crisis ORDER BY ts ROWS UNBOUNDED PRECEDING) AS eq FROM ret JOIN c ON ts >= first AND ts <= last), d AS (SELECT *, eq / greatest(1e0, max(eq) OVER (PARTITION BY symbol, crisis ORDER BY ts ROWS UNBOUNDED PRECEDING)) - 1e0 AS dd FROM i)") + "SELECT symbol, crisis, count(*) AS n, round(product(1e0 + r) - 1e0, 8) AS total, round(min(dd), 8) AS max_dd, min(dd) > -0.25e0 AS passes FROM d GROUP BY symbol, crisis HAVING count(*) >= 2")
 def crisis_windows(spark, sf_dir):
     out = risk.crisis_stress(views.returns(spark, sf_dir), ["symbol"])
     return out.select("symbol", "crisis", "n", F.round("total", 8).alias("total"), F.round("max_dd", 8).alias("max_dd"), "passes")
@@ -190,7 +182,7 @@ def scale_factor_path(spark, sf_dir):
     return out.select("bday", F.round("equity", 4).alias("equity"), F.round("dd", 8).alias("dd"), "halted", F.round("ewm_vol", 6).alias("ewm_vol"), F.round("scale", 6).alias("scale"))
 
 
-@query(with_views("bars", also="""m AS (SELECT *, CASE WHEN seq >= 30 THEN ln(close / lag(close, 20) OVER (PARTITION BY symbol ORDER BY seq)) END AS m FROM bars WHERE seq < 400),
+@query(with_views("bars", also="""m AS (SELECT *, CASE WHEN seq >= 30 THEN ln(close / lag(close, 20) OVER (PARTITION BY symbol ORDER BY seq)) END AS m FROM bars),
 k AS (SELECT symbol, seq, round(CASE WHEN count(m) OVER w >= 20 AND stddev_pop(m) OVER w >= 1e-8 THEN (m - avg(m) OVER w) / stddev_pop(m) OVER w END, 5) AS z FROM m WINDOW w AS (PARTITION BY symbol ORDER BY seq ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)),
 t AS (SELECT symbol, seq, z, CASE WHEN z > 0.5e0 THEN 1 ELSE 0 END AS position, CASE WHEN z > 0.5e0 THEN 1 ELSE 0 END AS held, CASE WHEN z > 0.5e0 THEN 'entry' ELSE 'hold' END AS action FROM k WHERE seq = 0
   UNION ALL SELECT k.symbol, k.seq, k.z,
@@ -199,5 +191,5 @@ t AS (SELECT symbol, seq, z, CASE WHEN z > 0.5e0 THEN 1 ELSE 0 END AS position,
     CASE WHEN t.position = 1 AND t.held >= 10 AND k.z <= 0.5e0 THEN 'exit' WHEN t.position = 0 AND k.z > 0.5e0 THEN 'entry' ELSE 'hold' END
   FROM t JOIN k ON k.symbol = t.symbol AND k.seq = t.seq + 1)""").replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT symbol, seq, position, action FROM t")
 def hold_state_machine(spark, sf_dir):
-    z = scans.momentum_z(views.bars(spark, sf_dir).where("seq < 400"), ["symbol"]).withColumn("z", F.round("z", 5))
+    z = scans.momentum_z(views.bars(spark, sf_dir), ["symbol"]).withColumn("z", F.round("z", 5))
     return risk.hold_states(z, ["symbol"], 0.5, 10).select("symbol", "seq", "position", "action")

@@ -182,20 +182,19 @@ def sanctuary_divergence(spark, sf_dir):
     return out.select("symbol", "windows", *[F.round(c, 6).alias(c) for c in ("recent", "percentile", "median")], "lucky", "unlucky")
 
 
-def _configs(spark, sf_dir):
-    """Lagged versions of a series as configurations over common steps."""
-    ret = views.returns(spark, sf_dir).where("seq < 1200")
-    return ret.select(F.col("symbol").alias("config"), F.col("seq").alias("t"), "r")
-
-
-@query(with_views("ret", also="""b AS (SELECT seq // 200 AS block, symbol, count(*) AS n, sum(r) AS s, sum(r * r) AS q FROM ret WHERE seq < 1200 GROUP BY ALL), k AS (SELECT unnest(range(6)) AS b),
+@query(with_views("ret", also="""f AS (SELECT ts FROM ret GROUP BY ts HAVING count(*) = 5), d AS (SELECT ts, ntile(6) OVER (ORDER BY ts) - 1 AS block FROM f),
+b AS (SELECT block, symbol, count(*) AS n, sum(r) AS s, sum(r * r) AS q FROM ret JOIN d USING (ts) GROUP BY ALL), k AS (SELECT unnest(range(6)) AS b),
 c AS (SELECT x.b AS x, y.b AS y, z.b AS z, row_number() OVER (ORDER BY x.b, y.b, z.b) - 1 AS combo FROM k x JOIN k y ON x.b < y.b JOIN k z ON y.b < z.b),
 s AS (SELECT combo, symbol, block IN (x, y, z) AS inside, sum(n) AS n, sum(s) AS s, sum(q) AS q FROM b, c GROUP BY ALL),
 o AS (SELECT combo, symbol, inside, s / n / sqrt((q - s * s / n) / (n - 1)) AS score FROM s),
 p AS (SELECT a.combo, a.symbol, a.score AS i, rank() OVER (PARTITION BY a.combo ORDER BY b.score) / 6e0 AS w FROM o a JOIN o b ON a.combo = b.combo AND a.symbol = b.symbol AND a.inside AND NOT b.inside),
 w AS (SELECT combo, arg_max(w, i) AS w FROM p GROUP BY combo)""") + "SELECT count(*) AS combinations, round(avg(CASE WHEN ln(w / (1 - w)) < 0 THEN 1e0 ELSE 0e0 END), 6) AS pbo, round(quantile_cont(ln(w / (1 - w)), 0.5e0), 6) AS median_logit FROM w")
 def pbo_cscv(spark, sf_dir):
-    return rounded(inference.overfitting(_configs(spark, sf_dir), 1200, 6), ["combinations"], ["pbo", "median_logit"])
+    """Five series as configurations over the days that all of them have."""
+    panel = joins.aligned(views.returns(spark, sf_dir), "symbol", "ts", "r", 5)
+    days = panel.select("ts").distinct().withColumn("t", F.row_number().over(Window.orderBy("ts")) - 1)
+    configs = panel.join(days, "ts").select(F.col("symbol").alias("config"), "t", "r")
+    return rounded(inference.overfitting(configs, days.count(), 6), ["combinations"], ["pbo", "median_logit"])
 
 
 _KELLY = f"m AS (SELECT symbol, count(r) AS n, {_SHARPE} AS sr, stddev_samp(r) * sqrt(252e0) AS vol FROM ret GROUP BY symbol), k AS (SELECT symbol, greatest(0e0, sr / vol) AS f, (sr - e) / vol AS lo, (sr + e) / vol AS hi FROM (SELECT *, sqrt((1 + 0.5e0 * sr * sr / 252) / n) * sqrt(252e0) * 1.959963984540054e0 AS e FROM m))"

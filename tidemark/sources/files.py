@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import shutil
+import tempfile
 import tomllib
 import zipfile
 from pathlib import Path
@@ -172,3 +173,14 @@ def load_state(path: str, closed: dict) -> dict:
         return {}
     except (OSError, ValueError):
         return closed
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share. Where none is set a temporary one serves, on a single machine alone."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
