@@ -40,20 +40,18 @@ def test_the_tail_join_equals_a_whole_head(spark):
 def test_slot_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
     w = rng.normal(size=(maxent.ROWS, maxent.SLOTS)).astype(np.float32) * 0.1
-    contexts = rng.integers(0, maxent.WORDS**2, 3)
+    contexts = rng.integers(0, maxent.WORDS * maxent.CLASSES, 3)
     total = [np.exp(maxent.score_slots(w, np.full(maxent.WORDS, c), np.arange(maxent.WORDS))).sum() for c in contexts]
     assert np.allclose(total, 1, atol=1e-4)
 
 
-def test_descent_learns_words_within_a_class_from_the_word_before():
-    slots = np.array([1, 2, 1, 3] * 1000)  # three words of one class; after 2 and 3 always 1
+def test_descent_learns_words_within_a_class_from_the_words_before():
+    slots = np.array([1, 2, 70, 1, 3, 140] * 1000)  # 2 and 3 are of one class; what follows 1 depends on the class before
     keys, n = np.unique((maxent.history(slots) << 12) | slots, return_counts=True)
     d = maxent.Descent(np.zeros((maxent.ROWS, maxent.SLOTS), np.float32), 0.3)
     for _ in range(50):
         d.step(keys >> 12, keys & 4095, n)
-    got = np.exp(maxent.score_slots(d.weights, maxent.history(slots), slots))[4:]
-    assert got[slots[4:] == 1].min() > 0.9  # certain
-    assert got[slots[4:] == 2].min() > 0.8  # told from 3 by the word at distance two
+    assert np.exp(maxent.score_slots(d.weights, maxent.history(slots), slots))[6:].min() > 0.8
 
 
 def brute_scores(counts, weights, texts, alone):
@@ -77,7 +75,7 @@ def brute_scores(counts, weights, texts, alone):
         total = 0.0
         for w in text:
             s = place.get(w, maxent.shared_slot(w, alone))
-            c = np.array([(a << 12) | b])
+            c = np.array([(a << 6) | (b >> 6)])
             total += soft(maxent.class_rows(c)[0], s // 64) + soft(maxent.slot_rows(c, np.array([s // 64]))[0], s % 64)
             if w not in place:
                 total += math.log((counts.get(w, 0) + 0.5) / (sum(shared[s]) + 0.5 * (len(shared[s]) + 1)))

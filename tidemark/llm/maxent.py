@@ -1,8 +1,8 @@
 """LM scoring with a hashed maximum-entropy model and a class-factored softmax.
 
 log10 P(word | history) = log10 P(class | history) + log10 P(slot | class, history) + log10 P(word | slot). Both softmaxes
-sum weight rows of a bias, the word before, the word at distance two (a skip feature) and the pair of them (an n-gram
-feature, hashed); within a class the rows are hashed with the class. The most frequent words have slots of their own,
+sum weight rows of a bias, the word before, the class of the word at distance two (a skip feature) and the pair of them
+(an n-gram feature, hashed); within a class the rows are hashed with the class. The most frequent words have slots of their own,
 where the last factor is one; others share slots by their last two bytes, and there a word has its add-half share of
 counts, an unseen word the half of one more. Words that end alike are neighbours, so they fall into one class.
 
@@ -27,19 +27,20 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import crc_of_id, load, materialise, parallelism
 
 END = b"\n"  # no word holds it
-HEAD = 65_536
+HEAD = 131_072
 CLASSES, SLOTS = 64, 64
 WORDS = CLASSES * SLOTS
 OWN = WORDS - 256  # slots of one word, the others are shared; the first is the end, which also stands before a text
 _BITS = 12
 _MASK = WORDS - 1
-PAIR_ROWS, NEXT_ROWS = 4096, 8192
-#: Weight rows of the class softmax: a bias, words at distances one and two, hashed pairs.
-CLASS_ROWS = 1 + 2 * WORDS + PAIR_ROWS
-#: Weight rows of the slot softmax: a bias for each class; hashed with the class: words at distances one, two, pairs.
-SLOT_ROWS = CLASSES + NEXT_ROWS + 2 * PAIR_ROWS
+PAIR_ROWS, NEXT_ROWS = 8192, 8192
+#: Weight rows of the class softmax: a bias, words at distance one, classes at distance two, hashed pairs.
+CLASS_ROWS = 1 + WORDS + CLASSES + PAIR_ROWS
+#: Weight rows of the slot softmax: a bias for each class; with the class: words (hashed), classes, pairs (hashed).
+SLOT_ROWS = CLASSES + NEXT_ROWS + CLASSES * CLASSES + PAIR_ROWS // 2
 ROWS = CLASS_ROWS + SLOT_ROWS
 BLOCKS, FAN_IN = 16, 32
+TASK_TOKENS = 8_000_000
 
 
 def shared_slot(word: bytes, own: int = OWN) -> int:
@@ -58,21 +59,21 @@ def _hash(key: np.ndarray, salt: int, rows: int) -> np.ndarray:
 
 
 def class_rows(contexts: np.ndarray) -> np.ndarray:
-    """(n, 4) weight rows for contexts, which hold the word at distance one above the word at distance two."""
-    a, b = contexts >> _BITS, contexts & _MASK
-    return np.column_stack([np.zeros(len(a), np.int64), 1 + a, 1 + WORDS + b, 1 + 2 * WORDS + _hash(contexts, 1, PAIR_ROWS)])
+    """(n, 4) weight rows for contexts, which hold the word at distance one above the class of the one before it."""
+    a, b = contexts >> 6, contexts & 63
+    return np.column_stack([np.zeros(len(a), np.int64), 1 + a, 1 + WORDS + b, 1 + WORDS + CLASSES + _hash(contexts, 1, PAIR_ROWS)])
 
 
 def slot_rows(contexts: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """(n, 4) weight rows for contexts and the class that the slot is in."""
-    a, b = contexts >> _BITS, contexts & _MASK
+    a, b = contexts >> 6, contexts & 63
     first = CLASS_ROWS + CLASSES
     return np.column_stack(
         [
             CLASS_ROWS + classes,
             first + _hash(a * CLASSES + classes, 2, NEXT_ROWS),
-            first + NEXT_ROWS + _hash(b * CLASSES + classes, 3, PAIR_ROWS),
-            first + NEXT_ROWS + PAIR_ROWS + _hash(contexts * CLASSES + classes, 4, PAIR_ROWS),
+            first + NEXT_ROWS + b * CLASSES + classes,
+            first + NEXT_ROWS + CLASSES * CLASSES + _hash(contexts * CLASSES + classes, 4, PAIR_ROWS // 2),
         ]
     )
 
@@ -80,7 +81,16 @@ def slot_rows(contexts: np.ndarray, classes: np.ndarray) -> np.ndarray:
 def history(slots: np.ndarray) -> np.ndarray:
     """The context of each token of one document."""
     padded = np.concatenate([np.zeros(2, np.int64), slots])
-    return (padded[1:-1] << _BITS) | padded[:-2]
+    return (padded[1:-1] << 6) | (padded[:-2] >> 6)
+
+
+def distinct(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The kinds of keys below ``size`` in order, and the place of each key among them."""
+    place = np.zeros(size, np.int32)
+    place[keys] = 1
+    kinds = np.flatnonzero(place)
+    place[kinds] = np.arange(len(kinds), dtype=np.int32)
+    return kinds, place[keys]
 
 
 def log_softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -97,10 +107,10 @@ def score_slots(weights: np.ndarray, contexts: np.ndarray, slots: np.ndarray, ba
     out = np.empty(len(slots))
     for at in range(0, len(slots), batch):
         own, which = contexts[at : at + batch], slots[at : at + batch]
-        kinds, back = np.unique(own, return_inverse=True)
+        kinds, back = distinct(own, WORDS * CLASSES)
         classes = which >> 6
         got = log_softmax(weights, class_rows(kinds))[back, classes].astype(np.float64)
-        pairs, again = np.unique(back * CLASSES + classes, return_inverse=True)
+        pairs, again = distinct(back * CLASSES + classes, len(kinds) * CLASSES)
         logs = log_softmax(weights, slot_rows(kinds[pairs // CLASSES], pairs % CLASSES))
         out[at : at + batch] = got + logs[again, which & (SLOTS - 1)]
     return out
@@ -130,7 +140,7 @@ class Descent:
         classes = slots >> 6
         wanted = np.bincount(back * CLASSES + classes, counts, len(kinds) * CLASSES).astype(np.float32)
         self._move(class_rows(kinds), wanted.reshape(-1, CLASSES))
-        pairs, again = np.unique(back * CLASSES + classes, return_inverse=True)
+        pairs, again = distinct(back * CLASSES + classes, len(kinds) * CLASSES)
         wanted = np.bincount(again * SLOTS + (slots & (SLOTS - 1)), counts, len(pairs) * SLOTS).astype(np.float32)
         self._move(slot_rows(kinds[pairs // CLASSES], pairs % CLASSES), wanted.reshape(-1, SLOTS))
 
@@ -139,6 +149,17 @@ class Descent:
         return np.column_stack([(self.weights - self.start) * self.met[:, None], self.met]).astype(np.float32)
 
 
+class SlotMap(dict):
+    """Slots of words; those of others are worked out and not kept."""
+
+    def __init__(self, vocab: "Vocabulary") -> None:
+        super().__init__((w, int(vocab.slots[i])) for w, i in vocab.words.items())
+        self.own = vocab.own
+
+    def __missing__(self, word: bytes) -> int:
+        return shared_slot(word, self.own)
+
+
 @dataclass
 class Vocabulary:
     """The head: frequent words with their counts and slots; and what slots hold."""
@@ -219,14 +240,14 @@ def vocabulary(counts: DataFrame, head: int = HEAD, own: int = OWN) -> Vocabular
     return Vocabulary({w: i for i, w in enumerate(names)}, c, slots, total, distinct, n, v, own)
 
 
-def events(docs: DataFrame, shared, text_col: str = "text", flush: int = 2_000_000) -> DataFrame:
+def events(docs: DataFrame, shared, text_col: str = "text", flush: int = TASK_TOKENS) -> DataFrame:
     """(context long, slot long, n long) over every token of ``docs``, in a random order of contexts.
 
     Tasks count before the shuffle and the engine after it; a context has at most ``WORDS`` rows.
     """
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, found, size = shared.value, [], 0
+        slot_of, found, size = SlotMap(shared.value), [], 0
 
         def out() -> pa.RecordBatch:
             keys, n = np.unique(np.concatenate(found), return_counts=True)
@@ -234,7 +255,8 @@ def events(docs: DataFrame, shared, text_col: str = "text", flush: int = 2_000_0
 
         for batch in batches:
             for x in batch.column(0).cast(pa.large_binary()).to_pylist():
-                _, slots, _ = vocab.read(tokens(x))
+                parts = tokens(x)
+                slots = np.fromiter(map(slot_of.__getitem__, parts), np.int64, len(parts))
                 found.append((history(slots) << _BITS) | slots)
                 size += len(slots)
                 if size >= flush:
@@ -245,10 +267,11 @@ def events(docs: DataFrame, shared, text_col: str = "text", flush: int = 2_000_0
 
     summed = docs.select(F.col(text_col).alias("text")).mapInArrow(take, "e long, n long").groupBy("e").agg(F.sum("n").alias("n"))
     split = summed.select(F.shiftright("e", _BITS).alias("context"), F.col("e").bitwiseAND(_MASK).alias("slot"), "n")
-    return split.repartition(parallelism(docs.sparkSession), "context").sortWithinPartitions(F.xxhash64("context"), "context", "slot")
+    tasks = max(parallelism(docs.sparkSession), shared.value.total // TASK_TOKENS)
+    return split.repartition(tasks, "context").sortWithinPartitions(F.xxhash64("context"))
 
 
-def train(found: DataFrame, vocab: Vocabulary, rounds: int = 2, rate: float = 0.25) -> np.ndarray:
+def train(found: DataFrame, vocab: Vocabulary, rounds: int = 2, rate: float = 0.2) -> np.ndarray:
     """Weights (ROWS, 64) from the counted events, all of them in each round."""
     from pyspark import TaskContext
 
@@ -307,8 +330,8 @@ def score_documents(docs: DataFrame, train_docs: DataFrame, id_col: str = "doc_i
         v, w = shared.value, weights.value
         head_log, slot_log = np.log10(v.counts + 0.5), v.slot_log
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
                 sizes, known, logs, all_slots, all_contexts, words, times = [], [], [], [], [], [], []
                 for x in part.column(1).cast(pa.large_binary()).to_pylist():
                     ids, slots, rest = v.read(tokens(x))
