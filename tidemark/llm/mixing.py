@@ -1,7 +1,7 @@
 """Mixing sources to target weights, in DataFrame functions alone.
 
 A document's block is a prefix of the md5 of its id within its source, so blocks are disjoint and their order is a
-permutation; a source has 65,536 at most. A source's target in words becomes an exact quota of block draws: whole passes
+permutation; a source has 4096, or 65,536 where there are more than 4096 output shards. A source's target in words becomes an exact quota of block draws: whole passes
 over its permuted blocks, then the blocks of one more pass until the words are met, the last of them cut to the word.
 
 Output shards get the draws by a multivariate-hypergeometric splitting tree: a node halves its shards and draws how many
@@ -20,6 +20,8 @@ from tidemark.llm.common import WORD, load, materialise
 WEIGHTS = (1, 2, 3)
 CAP = 3
 SHARD_WORDS = 1_000_000
+#: Draws up to this many rows, some 40 MB, are broadcast to the documents; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def _words(text: Column) -> Column:
@@ -135,8 +137,13 @@ def draws(leaves: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP,
 
     ``part`` counts a block's draws from 0. ``cut`` is the words that the draw takes if it does not take the whole block,
     else null. A block that is not drawn has one row with a null shard. Windows run over one source's blocks or shards,
-    65,536 at most, and over the sources.
+    65,536 at most, and over the sources. Blocks are given by four digits of their place and come back by three if these
+    make blocks enough.
     """
+    total = leaves.agg(F.sum("block_size")).first()[0] or 0
+    levels = min(16, max(3, (-(-total // shard_words) - 1).bit_length()))
+    if levels <= 12:
+        leaves = materialise(leaves.groupBy("source", F.substring("block", 1, 3).alias("block")).agg(F.sum("block_size").alias("block_size")))
     ranked = Window.partitionBy("source").orderBy("block")
     roots = targets(leaves.groupBy("source").agg(F.sum("block_size").alias("source_size")), weights, cap)
     filled = leaves.where("block_size > 0")
@@ -145,12 +152,10 @@ def draws(leaves: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP,
     known = _match(placed.withColumn("blocks", F.count("*").over(Window.partitionBy("source"))), roots, "source")
     last = F.greatest(F.lit(0).cast("long"), F.least("block_size", F.col("rest") - F.col("elder")))
     known = materialise(known.withColumn("last", last).withColumn("times", F.col("passes") + (F.col("last") > 0).cast("long")))
-    quotas = materialise(known.groupBy("source").agg(F.sum("times").alias("n"), F.sum(F.col("passes") * F.col("block_size") + F.col("last")).alias("words")))
-    words = quotas.agg(F.sum("words")).first()[0] or 0
-    levels = min(16, max(3, (-(-words // shard_words) - 1).bit_length()))
+    quotas = materialise(known.groupBy("source").agg(F.sum("times").alias("n")))
     # a shard's draws of a source are a run of the source's sequence of draws
     end = F.sum("n").over(Window.partitionBy("source").orderBy("shard"))
-    runs = shard_quotas(quotas.select("source", "n"), levels).withColumn("end", end).where("n > 0")
+    runs = shard_quotas(quotas, levels).withColumn("end", end).where("n > 0")
     dealt = runs.select("source", "shard", F.explode(F.sequence(F.col("end") - F.col("n"), F.col("end") - 1)).alias("draw"))
     each = known.where("times > 0").select("source", "block", "source_size", "target", "block_size", "last", "passes", "rank", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)).alias("part"))
     each = each.withColumn("draw", F.col("part") * F.col("blocks") + F.col("rank"))
@@ -162,6 +167,12 @@ def draws(leaves: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP,
     return met.unionByName(none)
 
 
+def _cut_to(docs: DataFrame, dealt: DataFrame) -> DataFrame:
+    """``docs`` with blocks of as many digits as those of ``dealt``."""
+    digits = dealt.agg(F.max(F.length("block"))).first()[0] or 4
+    return docs.withColumn("block", F.substring("h", 1, digits))
+
+
 def _left(size: Column) -> Column:
     """What a document takes of the words that cut its block, after its elders in the block."""
     elder = F.coalesce(F.sum(size).over(Window.partitionBy("source", "block").orderBy("h", size).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -181,7 +192,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     whole = F.count_if(F.col("shard").isNotNull() & F.col("cut").isNull())
     shards = F.transform(F.sort_array(F.collect_list(F.when(F.col("shard").isNotNull(), F.struct("part", "shard")))), lambda x: x["shard"])
     by_block = dealt.groupBy("source", "block").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), whole.alias("whole"), F.max("cut").alias("cut"), shards.alias("shards"))
-    known = _match(sized, by_block, "source", "block")
+    known = _match(_cut_to(sized, dealt), by_block, "source", "block")
     # only the one block of each source that is cut needs an order of its documents
     taken = F.col("whole") * F.col("size")
     sure = known.where("cut IS NULL").withColumn("taken", taken)
@@ -200,7 +211,9 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sized = sizes(docs, id_col, text_col, source_col)
     dealt = materialise(draws(materialise(sized.groupBy("source", "block").agg(F.sum("size").alias("block_size"))), weights, cap, shard_words).where("shard IS NOT NULL"))
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.col(source_col).alias("source"), _place(F.col(id_col)).alias("h"))
-    met = _match(keyed.withColumn("block", F.substring("h", 1, 4)).where(F.col(f"d.`{text_col}`").rlike(WORD)), dealt, "source", "block")
+    # texts are not shuffled for this join: the draws are few, and their number is checked
+    right = F.broadcast(dealt) if dealt.count() <= BROADCAST_ROWS else dealt
+    met = _match(_cut_to(keyed, dealt).where(F.col(f"d.`{text_col}`").rlike(WORD)), right, "source", "block")
     whole = met.where("cut IS NULL")
     size = _words(F.col(f"d.`{text_col}`"))
     some = met.where("cut IS NOT NULL").withColumn("size", size).withColumn("left", _left(F.col("size"))).where("2 * left >= size")
