@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_of_id, load
+from tidemark.llm.common import crc_of_id, load, utf8
 
 UNKNOWN = "und"
 ORDER = 5
 #: Code lengths that are in memory at once while texts are scored.
-CHUNK_CELLS = 1 << 21
+CHUNK_CELLS = 1 << 20
 TEXTS_PER_LANGUAGE, BYTES_PER_LANGUAGE = 400, 4 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -233,8 +233,13 @@ def predict(model: Model, spark: SparkSession, text: Column) -> Column:
 
     @F.arrow_udf("struct<lang: string, score: double>")
     def language(texts: pa.Array) -> pa.Array:
-        names, scores = score(shared.value, texts.cast(pa.large_binary()).to_pylist())
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores)], names=["lang", "score"])
+        names, scores = [], []
+        for at in range(0, len(texts), 256):
+            some = score(shared.value, list(utf8(texts.slice(at, 256))))
+            names += some[0]
+            scores.append(some[1])
+        found = np.concatenate(scores) if scores else np.zeros(0)
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(found)], names=["lang", "score"])
 
     return language(text)
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_of_id, load, materialise, parallelism
+from tidemark.llm.common import crc_of_id, load, materialise, parallelism, utf8
 
 END = b"\n"  # no word holds it
 HEAD = 131_072
@@ -209,7 +209,7 @@ def count_words(docs: DataFrame, text_col: str = "text", flush: int = 400_000) -
             return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "c"])
 
         for batch in batches:
-            for x in batch.column(0).cast(pa.large_binary()).to_pylist():
+            for x in utf8(batch.column(0)):
                 held.update(tokens(x))
                 if len(held) >= flush:
                     yield out()
@@ -254,7 +254,7 @@ def events(docs: DataFrame, shared, text_col: str = "text", flush: int = TASK_TO
             return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], names=["e", "n"])
 
         for batch in batches:
-            for x in batch.column(0).cast(pa.large_binary()).to_pylist():
+            for x in utf8(batch.column(0)):
                 parts = tokens(x)
                 slots = np.fromiter(map(slot_of.__getitem__, parts), np.int64, len(parts))
                 found.append((history(slots) << _BITS) | slots)
@@ -333,7 +333,7 @@ def score_documents(docs: DataFrame, train_docs: DataFrame, id_col: str = "doc_i
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
                 sizes, known, logs, all_slots, all_contexts, words, times = [], [], [], [], [], [], []
-                for x in part.column(1).cast(pa.large_binary()).to_pylist():
+                for x in utf8(part.column(1)):
                     ids, slots, rest = v.read(tokens(x))
                     ids = ids[ids >= 0]
                     tail = Counter(rest)

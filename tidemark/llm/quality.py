@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_of_id, load
+from tidemark.llm.common import crc_of_id, load, utf8
 
 THRESHOLD = 0.3
 STATISTICS = ["log_bytes", "log_words", "upper", "symbols", "pipes", "digits", "spaces", "high", "word_bytes", "distinct_words", "adjacent_repeats", "distinct_lines", "distinct_pairs", "marked_words"]
@@ -62,7 +62,7 @@ def statistics(x: bytes | None) -> list[float]:
 def statistics_udf():
     @F.arrow_udf("array<double>")
     def quality_statistics(texts: pa.Array) -> pa.Array:
-        return pa.array([statistics(x) for x in texts.cast(pa.large_binary()).to_pylist()], pa.list_(pa.float64()))
+        return pa.array([statistics(x) for x in utf8(texts)], pa.list_(pa.float64()))
 
     return quality_statistics
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import similar
 from tidemark.llm.bktree import BKTree, fingerprint
-from tidemark.llm.common import connected_components, load, materialise, parallelism
+from tidemark.llm.common import connected_components, load, materialise, parallelism, utf8
 
 SHINGLE_WORDS = 4
 RADIUS = 4
@@ -29,7 +29,7 @@ def fingerprint_udf(words: int = SHINGLE_WORDS):
 
     @F.arrow_udf("long")
     def simhash(texts: pa.Array) -> pa.Array:
-        out = np.fromiter((fingerprint(x, words) for x in texts.cast(pa.large_binary()).to_pylist()), np.uint64, len(texts))
+        out = np.fromiter((fingerprint(x, words) for x in utf8(texts)), np.uint64, len(texts))
         return pa.array(out.view(np.int64))
 
     return simhash
