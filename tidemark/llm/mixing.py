@@ -69,42 +69,50 @@ def _match(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
     return left.join(other, on).drop(*[f"_right_{c}" for c in keys])
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def hypergeometric(u: Column, population: Column, marked: Column, draws: Column) -> Column:
     """How many of ``draws`` from ``population`` are marked, by inversion at ``u`` in [0, 1) of the exact distribution.
 
     Weights run from the mode by the ratio of neighbours, within 12 deviations of it, where all else is below double
     precision.
     """
-    as_double = lambda x: x.cast("double")
-    n, k, m = as_double(population), as_double(marked), as_double(draws)
-    low, high = F.greatest(F.lit(0.0), m + k - n), F.least(k, m)
-    mode = F.least(F.greatest(F.floor((m + 1) * (k + 1) / (n + 2)).cast("double"), low), high)
-    spread = F.ceil(12 * F.sqrt(F.greatest(F.lit(0.0), m * k * (n - k) * (n - m) / F.greatest(F.lit(1.0), n * n * (n - 1)))) + 12)
-    first, last = F.greatest(low, mode - spread).cast("long"), F.least(high, mode + spread).cast("long")
-
-    def up(acc: Column, x: Column) -> Column:
-        ratio = (k - x + 1) * (m - x + 1) / (x * (n - k - m + x))
-        w = acc["w"] * ratio
-        return F.struct(w.alias("w"), F.concat(acc["all"], F.array(w)).alias("all"))
-
-    def down(acc: Column, x: Column) -> Column:
-        ratio = ((x + 1) * (n - k - m + x + 1)) / ((k - x) * (m - x))
-        w = acc["w"] * ratio
-        return F.struct(w.alias("w"), F.concat(F.array(w), acc["all"]).alias("all"))
-
-    none = F.array().cast("array<double>")
-    start = F.struct(F.lit(1.0).alias("w"), none.alias("all"))
-    at = mode.cast("long")
-    above = F.when(last > at, F.aggregate(F.sequence(at + 1, last), start, up)["all"]).otherwise(none)
-    below = F.when(first < at, F.aggregate(F.sequence(at - 1, first, F.lit(-1).cast("long")), start, down)["all"]).otherwise(none)
-    weights = F.concat(below, F.array(F.lit(1.0)), above)
-    total = F.aggregate(weights, F.lit(0.0), lambda a, w: a + w)
-    walk = F.aggregate(
-        weights,
-        F.struct((u * total).alias("left"), F.lit(0).cast("long").alias("i")),
-        lambda a, w: F.struct((a["left"] - w).alias("left"), (a["i"] + F.when(a["left"] >= w, 1).otherwise(0)).cast("long").alias("i")),
-    )["i"]
-    return F.least(first + walk, last)
+    given = F.struct(u.alias("u"), population.cast("double").alias("n"), marked.cast("double").alias("k"), draws.cast("double").alias("m"))
+
+    def bounds(g: Column) -> Column:
+        n, k, m = g["n"], g["k"], g["m"]
+        low, high = F.greatest(F.lit(0.0), m + k - n), F.least(k, m)
+        mode = F.least(F.greatest(F.floor((m + 1) * (k + 1) / (n + 2)).cast("double"), low), high)
+        spread = F.ceil(12 * F.sqrt(F.greatest(F.lit(0.0), m * k * (n - k) * (n - m) / F.greatest(F.lit(1.0), n * n * (n - 1)))) + 12)
+        return F.struct(g.alias("g"), low.alias("low"), high.alias("high"), mode.alias("mode"), spread.alias("spread"))
+
+    def weights(b: Column) -> Column:
+        g = b["g"]
+        n, k, m = g["n"], g["k"], g["m"]
+        first, last, at = F.greatest(b["low"], b["mode"] - b["spread"]).cast("long"), F.least(b["high"], b["mode"] + b["spread"]).cast("long"), b["mode"].cast("long")
+        up = lambda acc, x: _next(acc, (k - x + 1) * (m - x + 1) / (x * (n - k - m + x)))
+        down = lambda acc, x: _next(acc, ((x + 1) * (n - k - m + x + 1)) / ((k - x) * (m - x)))
+        none = F.array().cast("array<double>")
+        start = F.struct(F.lit(1.0).alias("w"), none.alias("all"))
+        above = F.when(last > at, F.aggregate(F.sequence(at + 1, last), start, up)["all"]).otherwise(none)
+        below = F.when(first < at, F.reverse(F.aggregate(F.sequence(at - 1, first, F.lit(-1).cast("long")), start, down)["all"])).otherwise(none)
+        return F.struct(g["u"].alias("u"), first.alias("first"), last.alias("last"), F.concat(below, F.array(F.lit(1.0)), above).alias("all"))
+
+    def invert(w: Column) -> Column:
+        total = F.aggregate(w["all"], F.lit(0.0), lambda a, x: a + x)
+        start = F.struct((w["u"] * total).alias("left"), F.lit(0).cast("long").alias("i"))
+        step = lambda a, x: F.struct((a["left"] - x).alias("left"), (a["i"] + F.when(a["left"] >= x, 1).otherwise(0)).cast("long").alias("i"))
+        return F.least(w["first"] + F.aggregate(w["all"], start, step)["i"], w["last"])
+
+    return _let(_let(_let(given, bounds), weights), invert)
+
+
+def _next(acc: Column, ratio: Column) -> Column:
+    """A running product and the list of its values."""
+    return _let(acc["w"] * ratio, lambda w: F.struct(w.alias("w"), F.concat(acc["all"], F.array(w)).alias("all")))
 
 
 def shard_quotas(quotas: DataFrame, levels: int, seed: int = 11) -> DataFrame:
