@@ -6,11 +6,11 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline
 import numpy as np
-from tidemark.llm import language, quality, simhash
+from tidemark.llm import language, quality
 from tidemark.llm.common import load
 
 from tests.llm.test_mixing import water_fill
-from tests.llm.test_simhash import brute_components, brute_print
+from tests.llm.test_similar import brute_kept
 
 
 def plain(spark, sf_dir):
@@ -22,7 +22,8 @@ def plain(spark, sf_dir):
     rules = quality.train(spark.createDataFrame(docs, frame.schema), load(spark, sf_dir, "labels"))
     docs = [d for d, s in zip(docs, rules.score(np.array([quality.statistics(d["text"].encode()) for d in docs]))) if s >= quality.THRESHOLD]
     ids = [d["doc_id"] for d in docs]
-    docs = [d for d, c in zip(docs, brute_components(ids, [brute_print(d["text"]) for d in docs])) if d["doc_id"] == c]
+    kept = set(brute_kept(ids, [d["text"] for d in docs]))
+    docs = [d for d in docs if d["doc_id"] in kept]
     size, by_source = {d["doc_id"]: len(d["text"].encode().split()) for d in docs}, defaultdict(list)
     for d in docs:
         by_source[d["source"]].append(d)
@@ -76,4 +77,17 @@ def test_clean_documents_stay(spark):
     good = load(spark, sf, "labels").where("quality = 1").select("doc_id")
     kept = corpus_pipeline.quality_classifier(spark, corpus_pipeline.language_id(spark, docs, sf), sf)
     assert kept.join(good, "doc_id", "left_semi").count() >= 0.98 * good.count()
-    assert simhash.SHINGLE_WORDS == 4
+
+
+def test_stages_take_odd_rows(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents").limit(40)
+    names = [f.name for f in docs.schema]
+    odd = [(None, "a b", None, None, None), (1, None, "en", "x", 0), (1, "", "en", None, 0), (7, " \n", None, "x", 1), (7, "one " * 30_000, "en", "x", 1), (7, "one " * 30_000, "en", "x", 1)]
+    frame = spark.createDataFrame([tuple(dict(zip(("doc_id", "text", "lang", "source", "n_chars"), r)).get(n) for n in names) for r in odd], docs.schema)
+    both = docs.unionByName(frame).selectExpr("*", "1 AS size", "2 AS block", "3 AS score", "4 AS cid")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, both, sf_dir)
+        assert out.columns == both.columns and out.count() > 0, name
+    kept = corpus_pipeline.near_duplicates(spark, both, sf_dir)
+    assert kept.where("text LIKE 'one %'").count() == 1 and kept.where("trim(text) = '' OR text IS NULL").count() <= 1
+    assert corpus_pipeline.best_fit_packing(spark, both, sf_dir).select("doc_id").distinct().count() == both.select("doc_id").distinct().count()
