@@ -16,6 +16,13 @@ def clean(x: Column) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """A double to ``digits`` decimals as other engines round it: scaled, half away from zero, scaled back. ``F.round`` goes
+    by the decimal text instead, so that 1.00005 and the like may part."""
+    scale = F.lit(10.0**digits)
+    return F.coalesce(clean(F.round(x * scale, 0) / scale), x)
+
+
 def over_all(*by: str, order: str | Sequence[str]) -> WindowSpec:
     """From the start of a series to the current row."""
     return Window.partitionBy(*by).orderBy(*_list(order)).rowsBetween(Window.unboundedPreceding, 0)

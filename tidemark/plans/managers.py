@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.exprs import rounded
 from tidemark.operators import audit, manager, risk, scans
 from tidemark.sources import views
 from tidemark.sources.views import with_views
@@ -46,7 +47,7 @@ def position_records(spark, sf_dir):
     price, n = F.col("l_extendedprice"), F.col("l_linenumber")
     record = manager.position_record(-F.col("l_quantity").cast("double"), price, F.when(n == 1, price * 0.9), F.when(n == 2, -3.0))
     pending = manager.candidate(-price, F.col("l_tax"), 1.1)
-    return views.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *[F.round(x, 4).alias(c) for x, c in ((record["abs_notional"], "abs_notional"), (record["risk_amount"], "risk_amount"), (pending["abs_notional"], "pending_notional"), (pending["risk_amount"], "pending_risk"))])
+    return views.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *[rounded(x, 4).alias(c) for x, c in ((record["abs_notional"], "abs_notional"), (record["risk_amount"], "risk_amount"), (pending["abs_notional"], "pending_notional"), (pending["risk_amount"], "pending_risk"))])
 
 
 @query("SELECT l_suppkey, round(sum(CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END * (p_retailprice - l_extendedprice / l_quantity)), 2) AS mtm FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_suppkey")
