@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import tempfile
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +42,95 @@ def suppress(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.dropDuplicatesWithinWatermark(keys)
 
 
+#: Rows of a key that are sorted in memory at once.
+RUN_ROWS = 1 << 18
+_SLICE = 10_000
+_ROW = np.dtype([("ts", "i8"), ("x", "f8"), ("order", "i1")])
+_ORDERS = ("trip", "reset")
+_LATEST = 2**63 - 1  # stands for a null time, so that these come last
+
+
+def _sorted(rows: np.ndarray) -> np.ndarray:
+    return rows[np.lexsort([rows[c] for c in reversed(_ROW.names)])]
+
+
+def _through(rows: np.ndarray, row: np.void) -> int:
+    """How many of the sorted ``rows`` come no later than ``row``."""
+    a, b = 0, len(rows)
+    for c in _ROW.names:
+        own = rows[c][a:b]
+        a, b = a + int(np.searchsorted(own, row[c])), a + int(np.searchsorted(own, row[c], "right"))
+    return b
+
+
+def in_order(frames: Iterator[pd.DataFrame], run_rows: int = RUN_ROWS) -> Iterator[np.ndarray]:
+    """The rows of all frames by time, ties by value, some at a time.
+
+    More than ``run_rows`` are sorted in runs that lie in a temporary file and are merged from there, so that memory does
+    not follow a key's number of rows in a batch.
+    """
+    held: list[np.ndarray] = []
+    ends = [0]
+    with tempfile.TemporaryFile() as file:
+
+        def spill() -> None:
+            rows = _sorted(np.concatenate(held))
+            file.write(rows.tobytes())
+            ends.append(ends[-1] + len(rows))
+            held.clear()
+
+        for frame in frames:
+            rows = np.empty(len(frame), _ROW)
+            for c in _ROW.names:
+                rows[c] = frame[c]
+            held.append(rows)
+            if sum(map(len, held)) >= run_rows:
+                spill()
+        if len(ends) == 1:
+            rows = _sorted(np.concatenate(held)) if held else np.empty(0, _ROW)
+            yield from (rows[at : at + _SLICE] for at in range(0, len(rows), _SLICE))
+            return
+        if held:
+            spill()
+        runs = [[a, b, np.empty(0, _ROW)] for a, b in zip(ends, ends[1:])]  # what is still in the file, what was read
+        step = max(64, run_rows // len(runs))
+        while True:
+            for run in runs:
+                if not len(run[2]) and run[0] < run[1]:
+                    n = min(step, run[1] - run[0])
+                    file.seek(run[0] * _ROW.itemsize)
+                    run[0], run[2] = run[0] + n, np.frombuffer(file.read(n * _ROW.itemsize), _ROW)
+            runs = [run for run in runs if len(run[2])]
+            if not runs:
+                return
+            # no row that is still in the file comes before the least of the last rows read
+            bound = _sorted(np.array([run[2][-1] for run in runs], _ROW))[0]
+            due = []
+            for run in runs:
+                n = _through(run[2], bound)
+                due.append(run[2][:n])
+                run[2] = run[2][n:]
+            rows = _sorted(np.concatenate(due))
+            yield from (rows[at : at + _SLICE] for at in range(0, len(rows), _SLICE))
+
+
+def _stateful(df: DataFrame, key: str, value: str, start: tuple, fold: Callable[[tuple, Iterable], tuple[tuple, list]], out: str, kept: str, command: str | None = None) -> DataFrame:
+    """Per key and batch: ``fold`` over the rows in time order, its state carried on; only what it needs goes to Python."""
+    order = F.coalesce(*[F.when(F.col(command) == x, F.lit(i + 1)) for i, x in enumerate(_ORDERS)], F.lit(0)) if command else F.lit(0)
+    rows = df.select(F.col(key).alias("key"), F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(_LATEST)).alias("ts"), F.col(value).cast("double").alias("x"), order.cast("tinyint").alias("order"))
+    names = [c.split()[0] for c in out.split(", ")]
+
+    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.get if state.exists else start
+        for some in in_order(frames):
+            now, found = fold(now, zip(some["x"].tolist(), some["order"].tolist()))
+            yield pd.DataFrame({"key": k[0], "ts": some["ts"]}).join(pd.DataFrame(found, columns=names))
+        state.update(now)
+
+    found = rows.groupBy("key").applyInPandasWithState(step, f"key STRING, ts LONG, {out}", kept, "append", GroupStateTimeout.NoTimeout)
+    return found.select("key", F.timestamp_micros(F.nullif("ts", F.lit(_LATEST))).alias("ts"), *names)
+
+
 def throttle(df: DataFrame, key: str, value: str = "equity", trigger: float = -0.08, reset: float = -0.04) -> DataFrame:
     """Hysteresis per key on the drawdown from its high: a row per input, in time order within a batch."""
 
@@ -78,24 +169,19 @@ def cusum(df: DataFrame, key: str, mean: float, sd: float, slack: float = 0.5, b
 def kill_switch(df: DataFrame, key: str, limit: float = -0.15, value: str = "equity", command: str | None = None) -> DataFrame:
     """Halts once the drawdown passes the limit and stays so; commands ``trip`` and ``reset`` act at their time."""
 
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        high, halted = state.get if state.exists else (float("-inf"), False)
-        rows = pd.concat(list(frames)).sort_values("ts")
-        orders = rows[command] if command else [None] * len(rows)
+    def fold(state: tuple, rows: Iterable) -> tuple[tuple, list]:
+        high, halted = state
         out = []
-        for ts, x, order in zip(rows["ts"], rows[value], orders):
-            if order == "trip":
-                halted = True
-            elif order == "reset":
-                halted = False
-            if x == x and x is not None:
+        for x, order in rows:
+            if order:
+                halted = _ORDERS[order - 1] == "trip"
+            if x == x:
                 high = max(high, x)
-                halted = bool(halted or (high > 0 and x / high - 1 < limit))
-            out.append((k[0], ts, bool(halted)))
-        state.update((float(high), bool(halted)))
-        yield pd.DataFrame(out, columns=["key", "ts", "halted"])
+                halted = halted or (high > 0 and x / high - 1 < limit)
+            out.append((halted,))
+        return (high, halted), out
 
-    return df.groupBy(key).applyInPandasWithState(step, "key STRING, ts TIMESTAMP, halted BOOLEAN", "high DOUBLE, halted BOOLEAN", "append", GroupStateTimeout.NoTimeout)
+    return _stateful(df, key, value, (float("-inf"), False), fold, "halted BOOLEAN", "high DOUBLE, halted BOOLEAN", command)
 
 
 def drain(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
