@@ -134,19 +134,17 @@ def _stateful(df: DataFrame, key: str, value: str, start: tuple, fold: Callable[
 def throttle(df: DataFrame, key: str, value: str = "equity", trigger: float = -0.08, reset: float = -0.04) -> DataFrame:
     """Hysteresis per key on the drawdown from its high: a row per input, in time order within a batch."""
 
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        high, on = state.get if state.exists else (float("-inf"), False)
-        rows = pd.concat(list(frames)).sort_values("ts")
+    def fold(state: tuple, rows: Iterable) -> tuple[tuple, list]:
+        high, on = state
         out = []
-        for ts, x in zip(rows["ts"], rows[value]):
+        for x, _ in rows:
             high = max(high, x)
             dd = x / high - 1 if high > 0 else 0.0
             on = True if dd <= trigger else False if dd >= reset else on
-            out.append((k[0], ts, dd, bool(on)))
-        state.update((float(high), bool(on)))
-        yield pd.DataFrame(out, columns=["key", "ts", "dd", "throttled"])
+            out.append((dd, on))
+        return (high, on), out
 
-    return df.groupBy(key).applyInPandasWithState(step, "key STRING, ts TIMESTAMP, dd DOUBLE, throttled BOOLEAN", "high DOUBLE, throttled BOOLEAN", "append", GroupStateTimeout.NoTimeout)
+    return _stateful(df, key, value, (float("-inf"), False), fold, "dd DOUBLE, throttled BOOLEAN", "high DOUBLE, throttled BOOLEAN")
 
 
 def cusum(df: DataFrame, key: str, mean: float, sd: float, slack: float = 0.5, bound: float = 5.0, value: str = "value") -> DataFrame:
