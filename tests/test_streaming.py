@@ -39,7 +39,7 @@ def test_memory_does_not_follow_the_rows_of_a_key():
 
 def test_only_the_columns_needed_go_to_python(spark, sf_dir):
     events = processors.read_events(spark, sf_dir)
-    for out in (processors.throttle(events, "event_type", "value"), processors.kill_switch(events, "event_type", value="value")):
+    for out in (processors.throttle(events, "event_type", "value"), processors.cusum(events, "event_type", 50.0, 29.0), processors.kill_switch(events, "event_type", value="value")):
         plan = out._jdf.queryExecution().analyzed().toString()
         below = plan[plan.index("FlatMapGroupsInPandasWithState") :].split("\n")
         assert "props" not in below[1] and "user_id" not in below[1]

@@ -150,18 +150,16 @@ def throttle(df: DataFrame, key: str, value: str = "equity", trigger: float = -0
 def cusum(df: DataFrame, key: str, mean: float, sd: float, slack: float = 0.5, bound: float = 5.0, value: str = "value") -> DataFrame:
     """Reflected sums per key, carried from batch to batch."""
 
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        up, down = state.get if state.exists else (0.0, 0.0)
-        rows = pd.concat(list(frames)).sort_values("ts")
+    def fold(state: tuple, rows: Iterable) -> tuple[tuple, list]:
+        up, down = state
         out = []
-        for ts, x in zip(rows["ts"], rows[value]):
+        for x, _ in rows:
             z = (x - mean) / sd
             up, down = max(0.0, up + z - slack), max(0.0, down - z - slack)
-            out.append((k[0], ts, up, down, max(up, down) > bound))
-        state.update((float(up), float(down)))
-        yield pd.DataFrame(out, columns=["key", "ts", "upper", "lower", "breach"])
+            out.append((up, down, max(up, down) > bound))
+        return (up, down), out
 
-    return df.groupBy(key).applyInPandasWithState(step, "key STRING, ts TIMESTAMP, upper DOUBLE, lower DOUBLE, breach BOOLEAN", "up DOUBLE, down DOUBLE", "append", GroupStateTimeout.NoTimeout)
+    return _stateful(df, key, value, (0.0, 0.0), fold, "upper DOUBLE, lower DOUBLE, breach BOOLEAN", "up DOUBLE, down DOUBLE")
 
 
 def kill_switch(df: DataFrame, key: str, limit: float = -0.15, value: str = "equity", command: str | None = None) -> DataFrame:
