@@ -94,3 +94,36 @@ def test_sizes_of_similar_sets_are_in_one_window():
     m = similar.Measure(0.8)
     for n in range(1, 3000):
         assert m.band(5 * n // 4) - m.band(n) in (0, 1)
+
+
+def test_sketches_rule_out_no_similar_pair():
+    rng, m = np.random.default_rng(1), similar.Measure(0.8)
+    for n in (1, 3, 9, 40, 300, 1500):
+        sets = []
+        for k in range(60):
+            base = np.random.default_rng(k % 6).integers(0, 1 << 63, n, dtype=np.uint64)
+            base[rng.random(n) < k % 5 / 20] = rng.integers(0, 1 << 63, dtype=np.uint64)
+            sets.append(np.unique(np.concatenate([base, rng.integers(0, 1 << 63, int(n * rng.random() / 4), dtype=np.uint64)])))
+        sizes, sketches = np.array([len(x) for x in sets]), [similar.sketch(x) for x in sets]
+        for first in (np.ones(60, bool), rng.random(60) < 0.5):
+            label = list(range(60))
+            found = similar.possible(sizes, sketches, first, m)
+            assert len({tuple(sorted(x)) for x in found}) == len(found) < 60
+            for i, j in found:
+                assert first.all() or first[i] != first[j]
+                label = [label[i] if x == label[j] else x for x in label]
+            for i in range(60):
+                for j in range(i):
+                    if m.alike(sets[i], sets[j]) and (first.all() or first[i] != first[j]):
+                        assert label[i] == label[j]
+            assert n < 40 or len(set(label)) >= 6  # unrelated texts stay apart
+
+
+def test_texts_that_only_share_passages_are_not_dealt(spark, monkeypatch):
+    texts = [" ".join(f"p{p}_{i}" for p in (k, k + 1) for i in range(40)) for k in range(60)]
+    docs = spark.createDataFrame(list(enumerate([*texts, texts[5] + " more"])), "doc_id long, text string")
+    dealt, plain = [], similar._dealt
+    monkeypatch.setattr(similar, "_dealt", lambda members, *columns: dealt.append((columns, members)) or plain(members, *columns))
+    kept = similar.dedup(docs).count()
+    counts = {columns: members.count() for columns, members in dealt}
+    assert kept == 60 and counts[("text",)] == 2 < counts[("n", "sketch")]

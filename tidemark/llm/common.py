@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -44,6 +45,14 @@ def utf8(texts: pa.Array, rows: int = 128) -> Iterator[bytes | None]:
         yield from texts.slice(at, rows).cast(pa.large_binary()).to_pylist()
 
 
+def give_back() -> None:
+    """Return the memory that this Python worker has freed to the system; its allocators keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Python workers get ``rows`` rows at a time in the jobs that run inside: for rows with long texts."""
