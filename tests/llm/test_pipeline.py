@@ -91,3 +91,12 @@ def test_stages_take_odd_rows(spark, sf_dir):
     kept = corpus_pipeline.near_duplicates(spark, both, sf_dir)
     assert kept.where("text LIKE 'one %'").count() == 1 and kept.where("trim(text) = '' OR text IS NULL").count() <= 1
     assert corpus_pipeline.best_fit_packing(spark, both, sf_dir).select("doc_id").distinct().count() == both.select("doc_id").distinct().count()
+
+
+def test_workers_get_few_texts_at_once(spark, monkeypatch):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    seen, before = [], spark.conf.get(name)
+    monkeypatch.setattr(corpus_pipeline, "load", lambda spark, sf_dir, table: spark.range(3))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(k, lambda spark, docs, sf_dir: seen.append(int(spark.conf.get(name))) or docs) for k in "ab"])
+    assert corpus_pipeline.run(spark, "").count() == 3
+    assert seen == [1024, 1024] and spark.conf.get(name) == before

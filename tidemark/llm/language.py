@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_of_id, load, utf8
+from tidemark.llm.common import crc_of_id, give_back, load, utf8
 
 UNKNOWN = "und"
 ORDER = 5
@@ -233,6 +233,7 @@ def predict(model: Model, spark: SparkSession, text: Column) -> Column:
 
     @F.arrow_udf("struct<lang: string, score: double>")
     def language(texts: pa.Array) -> pa.Array:
+        give_back()  # what earlier tasks left, before the model is read
         names, scores = [], []
         for at in range(0, len(texts), 256):
             some = score(shared.value, list(utf8(texts.slice(at, 256))))
