@@ -224,12 +224,17 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", t
     texts: dict[str, list[bytes]] = {}
     for lang, b in sorted(zip(got.column("lang").to_pylist(), got.column("b").to_pylist())):
         texts.setdefault(lang, []).append(b)
-    return fit(texts)
+    del got
+    model = fit(texts)
+    del texts
+    give_back()  # the driver's, which the trees took
+    return model
 
 
 def predict(model: Model, spark: SparkSession, text: Column) -> Column:
     """struct<lang: string, score: double> for a text column."""
     shared = spark.sparkContext.broadcast(model)
+    give_back()
 
     @F.arrow_udf("struct<lang: string, score: double>")
     def language(texts: pa.Array) -> pa.Array:
