@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 from tokenizers import Tokenizer
 
@@ -73,3 +74,24 @@ def test_split_chunks_keep_the_tokenizer_s_ids():
     encoder = packing.Encoder(packing.default_tokenizer())
     for w in [*words, "".join(words)]:
         assert np.frombuffer(encoder.encode([w.encode()])[0], "<u4").tolist() == whole(w)[:-1], w
+
+
+def test_words_are_one_chunk_in_any_case_and_before_any_sign():
+    encoder = packing.Encoder(packing.default_tokenizer())
+    text = "Thing, thing. THING; thing! (Thing) thing's"
+    assert np.frombuffer(encoder.encode([text.encode()])[0], "<u4").tolist() == whole(text)[:-1]
+    assert set(encoder.young) == {b"thing", b",", b".", b";", b"!", b"(thing", b")", b"'s"}
+
+
+def test_letters_are_composed_before_they_are_lower_case():
+    texts = ["H\u0331", "J\u030c T\u0308, W\u030a", "I\u0307\u0338x", "\u0130, \u0130<", "<|endoftext|>H\u0331 THE,", "a<|STARTOFTEXT|>, B"]
+    got = packing.Encoder(packing.default_tokenizer()).encode([x.encode() for x in texts])
+    for x, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == whole(x)[:-1], x
+
+
+def test_a_column_is_read_from_where_it_begins():
+    encoder = packing.Encoder(packing.default_tokenizer())
+    got = encoder.encode(pa.array(["x", None, "b,<|endoftext|>", "", "A"]).slice(1, 3))
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in got] == [[], whole("b,<|endoftext|>")[:-1], []]
+    assert encoder.encode([]) == []
